@@ -1,11 +1,49 @@
-"""The corpus pipeline (stages to be filled in)."""
+"""A training corpus from raw documents: language identification, near-dedup, substring dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+writes each stage's result as Parquet below the shared folder and hands what it reads back to the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelens.llm import language, neardup, packing, substrings
+from tidelens.llm.common import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language is not one that the labels name, or is not sure; the label becomes the language found."""
+    found = language.identify_documents(docs)
+    return found.where("accepted").withColumn("lang", F.col("language")).select(*docs.columns)
+
+
+def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return neardup.one_of_each(docs).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes recurring passages out of the texts; a document of which nothing is left goes."""
+    left = substrings.remove_repeats(docs).where("n_words > n_removed")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' token pieces in sequences of 1024."""
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [(f.__name__, f) for f in (language_id, minhash_neardup, substring_dedup, best_fit_packing)]
+
+#: SQL expresses none of the four methods; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, language, neardup, packing, substrings, suffixtree, urls, vectors, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffixtree.score(docs, suffixtree.fold(F.col("doc_id")))
+
+
+def op2_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -23,5 +33,40 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_best_fit_packing, op5_byte_bpe)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return language.identify_documents(docs).drop("text", "lang", "source")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return language.identify_pages(pages, table(spark, sf_dir, "documents", "text", "lang")).drop("url", "html")
+
+
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_links(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("url", "payload")
+
+
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# The rules that the query's contract names, as verdict, host and start of the path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("url")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_tree_lm, op2_multiprobe_search, op3_best_fit_packing, op4_language_id, op5_byte_bpe, op6_embedding_neardup, op7_warc_revisits, op8_minhash_neardup, op9_substring_dedup, op10_url_filter, language_id_pages)}
 SQL: dict[str, str] = {}
