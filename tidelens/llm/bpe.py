@@ -51,6 +51,8 @@ def _kinds() -> np.ndarray:
 
 
 def kinds_of(codes: np.ndarray) -> np.ndarray:
+    if codes.dtype == np.uint8:
+        return _kinds()[codes]
     out = _kinds()[np.minimum(codes, 0xFFFF)]
     for i in np.flatnonzero(codes > 0xFFFF):
         out[i] = _kind(int(codes[i]))
@@ -320,7 +322,7 @@ class Encoder:
 # --- operators ----------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk_bytes: int = 1 << 24) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk_bytes: int = 1 << 23) -> DataFrame:
     """docs with a column of token ids (array of int), as the vocabulary's own library would encode the text.
 
     ranks: path of a rank file that every executor has. Null text encodes as empty: an empty array. Other columns, also

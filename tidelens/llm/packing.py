@@ -263,7 +263,7 @@ def encode_rows(encoder: Encoder, library: _Library, raw: np.ndarray, offsets: n
     return ids, at
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", chunk_bytes: int = 1 << 24) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", chunk_bytes: int = 1 << 23) -> DataFrame:
     """A row per piece: docs' other columns, piece (from 0), start, length, and ids (packed little-endian 32-bit).
 
     A document's ids are those of the tokenizer file and then end_id; null text is empty, so it has one id. Only documents
