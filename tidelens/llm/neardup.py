@@ -4,8 +4,10 @@ A document is a set of shingles of five words, weighted by how often each occurs
 arrivals at a rate equal to their weight; each arrival goes to a random register, and an element stops as soon as its next
 arrival is later than every register's earliest. Registers of two documents agree with the probability Jaccard similarity
 (Ertl's J_P). Rows with the same weighted set form a class; bands of registers propose pairs of classes; pairs are verified
-exactly. Within a bucket every class is compared with the bucket's smallest one; after that, only buckets in which more
-than one component is left compare classes of different components, so that no link is lost and none is tested in vain.
+exactly. Within a bucket every class is compared with one pivot, and where several components are left with a second pivot,
+the class closest to the first. Buckets that still hold several components then look for pairs across components; a pair
+is verified unless the pivot's exact distances rule it out (1 - J_P obeys the triangle inequality) or its registers agree
+by MARGIN less than the threshold asks for. Links within a component change nothing and are not looked for.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from .graph import components
 
 #: Words of a shingle, least similarity, bands and registers of a band: 1 - (1 - 0.8**5)**30 = 0.999993 at the threshold.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
+#: How far below the threshold the share of equal registers of a pair may be for it to be verified (3.7 standard
+#: deviations at the threshold), and classes of a bucket that one task compares with as many others.
+MARGIN, TILE = 0.12, 4096
 #: Class ids that may be broadcast to pick out the texts to verify (16 bytes each); more are joined by an exchange.
 BROADCAST_CLASSES = 500_000
 
@@ -126,9 +131,9 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def _classes(docs: DataFrame, text: str, keep: list[str], sign: bool) -> DataFrame:
-    """keep, cls (16 bytes; null without words) and, if sign, bands (array of long)."""
+    """keep, cls (16 bytes; null without words) and, if sign, bands (array of long) and a byte of each register."""
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("cls", T.BinaryType()), *([T.StructField("bands", T.ArrayType(T.LongType()))] if sign else [])])
+    schema = T.StructType([*fields, T.StructField("cls", T.BinaryType()), *([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bytes", T.BinaryType())] if sign else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +144,11 @@ def _classes(docs: DataFrame, text: str, keep: list[str], sign: bool) -> DataFra
                 ids = class_ids(e, c, at)
                 made = [pa.array([None if x else i.tobytes() for i, x in zip(ids, none, strict=True)], pa.binary())]
                 if sign:
-                    keys = bands_of(signatures(e, c, at)).view(np.int64)
+                    registers = signatures(e, c, at)
+                    keys, low = bands_of(registers).view(np.int64), (registers & np.uint64(255)).astype(np.uint8)
                     made.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())))
+                    ends = np.arange(len(low) + 1, dtype=np.int32) * low.shape[1]
+                    made.append(pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low))]))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *made], names=schema.names)
 
@@ -156,10 +164,9 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return written(picked.groupBy("cls").agg(F.first("t").alias("t")), "texts")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose texts are similar enough."""
-    t = texts.toDF("id", "t")
-    rows = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def _verify(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame:
+    """The pairs (a, b) of classes with their exact similarity j; those below least are left out."""
+    rows = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +174,45 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             for lo, hi in chunks(sizes[0] + sizes[1], 1 << 21):
                 part = batch.slice(lo, hi - lo)
                 (ea, ca, xa), (eb, cb, xb) = (shingles(*utf8(part.column(c))) for c in ("ta", "tb"))
-                good = [
-                    probability_jaccard(ea[xa[i] : xa[i + 1]], ca[xa[i] : xa[i + 1]], eb[xb[i] : xb[i + 1]], cb[xb[i] : xb[i + 1]]) >= similarity - 1e-12
-                    for i in range(part.num_rows)
-                ]
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                j = np.array([probability_jaccard(ea[xa[i] : xa[i + 1]], ca[xa[i] : xa[i + 1]], eb[xb[i] : xb[i + 1]], cb[xb[i] : xb[i + 1]]) for i in range(part.num_rows)])
+                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
+                yield made.filter(pa.array(j >= least))
 
-    return rows.mapInArrow(run, pairs.schema)
+    return rows.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("j", T.DoubleType())]))
+
+
+def _across(open_: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) worth verifying: of one bucket, of different components, ruled out neither by distance nor by registers.
+
+    open_: spot, n (rows of the bucket), cls, root, far (distance to the bucket's pivot), bands, bytes. A pair comes from
+    the first of the buckets that it shares. A large bucket is dealt as tiles, each with each.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
+    rows = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = rows.select("spot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "root", "far", "bands", "bytes")
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        spot, x, y = (k.as_py() for k in key)
+        cls, roots = part.column("cls").to_pylist(), {r: i for i, r in enumerate(dict.fromkeys(part.column("root").to_pylist()))}
+        root = np.array([roots[r] for r in part.column("root").to_pylist()])
+        far = np.asarray(part.column("far").combine_chunks().fill_null(np.nan))
+        bands = np.asarray(part.column("bands").combine_chunks().flatten()).reshape(len(cls), -1)
+        low = np.stack([np.frombuffer(v, np.uint8) for v in part.column("bytes").to_pylist()])
+        tile, names = np.asarray(part.column("own")), np.array(cls, object)
+        order = np.argsort(names, kind="stable")
+        place = np.empty(len(cls), np.int64)
+        place[order] = np.arange(len(cls))
+        found: list[tuple[int, int]] = []
+        for i in range(len(cls)):
+            j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~(np.abs(far - far[i]) > 1 - similarity + 1e-9))
+            j = j[(low[j] == low[i]).mean(axis=1) >= similarity - MARGIN]
+            if len(j):
+                first = (bands[j] == bands[i]).argmax(axis=1)
+                found += [(i, int(k)) for k in j[bands[i][first] == spot]]
+        return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[k] for _, k in found], pa.binary())})
+
+    return rows.groupBy("spot", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -183,22 +222,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     one key and one flag. kept is key = component_id; components whose keys are all null have a null id and are kept.
     """
     signed = written(_classes(docs, text, [key], True), "signatures")
-    reps = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"))
+    reps = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     spots = reps.select("cls", F.explode("bands").alias("spot"))
-    pivots = spots.groupBy("spot").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pivots = spots.groupBy("spot").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(spots.join(pivots, "spot"), "buckets")
-    tested = written(members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     texts = _texts(docs, text, members.select("cls"))
-    links = written(_verify(tested, texts, similarity), "similar")
-    labels = components(links).toDF("cls", "root")
-    # Buckets that still hold several components: compare across them.
-    known = members.join(labels, "cls", "left").select("spot", "cls", F.coalesce("root", "cls").alias("root"))
-    open_ = known.groupBy("spot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("spot")
-    rest = written(known.join(open_, "spot", "left_semi"), "open")
-    across = rest.toDF("spot", "a", "ra").join(rest.toDF("spot", "b", "rb"), "spot").where("a < b and ra <> rb").select("a", "b").distinct()
-    across = written(across.join(tested, ["a", "b"], "left_anti"), "across")
-    links = links.union(written(_verify(across, texts, similarity), "similar"))
-    labels = components(links).toDF("cls", "root")
+    pair = (F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
+    tested = written(_verify(members.where("cls <> pivot").select(*pair).distinct(), texts), "tested")
+
+    def still_open(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows of buckets that hold several components, with each class's component; and all components."""
+        labels = components(links).toDF("cls", "root")
+        known = rows.drop("root").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        mixed = known.groupBy("spot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("spot")
+        return known.join(mixed, "spot", "left_semi"), labels
+
+    similar = F.col("j") >= similarity - 1e-12
+    left, labels = still_open(members, tested.where(similar).select("a", "b"))
+    # A second pivot for the buckets left: the class most similar to the first one.
+    left = written(left.join(tested.withColumnRenamed("j", "near"), (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left").drop("a", "b"), "left")
+    second = left.where("near is not null").groupBy("spot").agg(F.max_by("cls", F.struct("near", "cls")).alias("next"))
+    left = written(left.drop("pivot", "near").join(second.withColumnRenamed("next", "pivot"), "spot"), "left")
+    more = left.where("cls <> pivot").select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = tested.union(written(_verify(more, texts), "tested"))
+    left, labels = still_open(left, tested.where(similar).select("a", "b"))
+    far = left.join(tested, (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left")
+    far = far.select("spot", "n", "cls", "root", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far")).join(reps, "cls")
+    across = written(_across(far, similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        last = written(_verify(across, texts, similarity - 1e-12), "tested")
+        labels = components(tested.where(similar).select("a", "b").union(last.select("a", "b"))).toDF("cls", "root")
     rows = signed.select(key, "cls").join(labels, "cls", "left").select(key, F.coalesce("root", "cls").alias("root"))
     rows = written(rows, "labelled")
     heads = rows.where("root is not null").groupBy("root").agg(F.min(key).alias("head"), F.count("*").alias("n"))
