@@ -236,7 +236,7 @@ def pearson_of(x: Column, y: Column) -> Column:
     x, y = F.when(both, x), F.when(both, y)
     spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
     r = F.covar_pop(x, y) / F.when(spread > EPSILON, spread)
-    return F.when(F.count(x) >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when((F.count(x) >= 2) & (spread > EPSILON), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:

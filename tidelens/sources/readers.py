@@ -104,7 +104,8 @@ def normalise_time(df: DataFrame, ts: str, unit: str | None = None) -> DataFrame
     if isinstance(kind, T.IntegralType):
         unit = unit or epoch_unit(df.agg(F.max(ts)).head()[0]) or "ms"
         scale = MICROS.get(unit, 1000.0)
-        micros = F.col(ts) * int(scale) if scale >= 1 else F.floor(F.col(ts) / 1000)
+        x = F.col(ts).cast("long")
+        micros = x * int(scale) if scale >= 1 else F.floor(x / 1000)
         return df.withColumn(ts, F.timestamp_micros(micros.cast("long")).cast("timestamp_ntz"))
     return df.withColumn(ts, F.expr(f"try_to_timestamp(`{ts}`)").cast("timestamp_ntz"))
 

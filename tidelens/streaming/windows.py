@@ -14,7 +14,7 @@ from ..operators.reduce import aggregate
 
 def windowed(stream: DataFrame, ts: str, columns: list[str], size: str, step: str | None = None, how: str = "mean", late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
     """start, end, the grouping columns and the aggregates, for a stream or a table."""
-    w = F.window(F.col(ts).cast("timestamp"), size, step) if step else F.window(F.col(ts).cast("timestamp"), size)
+    w = F.window(ts, size, step) if step else F.window(ts, size)
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     made = rows.groupBy(w.alias("w"), *(by or [])).agg(*[aggregate(how, F.col(c)).alias(c) for c in columns], F.count("*").alias("n"))
     return made.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(by or []), *columns, "n")
