@@ -25,9 +25,9 @@ from .graph import components
 
 #: Words of a shingle, least similarity, bands and registers of a band: 1 - (1 - 0.8**5)**30 = 0.999993 at the threshold.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
-#: How far below the threshold the share of equal registers of a pair may be for it to be verified (3.7 standard
+#: How far below the threshold the share of equal registers of a pair may be for it to be verified (3 standard
 #: deviations at the threshold), and classes of a bucket that one task compares with as many others.
-MARGIN, TILE = 0.12, 4096
+MARGIN, TILE = 0.1, 4096
 #: Class ids that may be broadcast to pick out the texts to verify (16 bytes each); more are joined by an exchange.
 BROADCAST_CLASSES = 500_000
 
@@ -184,19 +184,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame
 def _across(open_: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) worth verifying: of one bucket, of different components, ruled out neither by distance nor by registers.
 
-    open_: spot, n (rows of the bucket), cls, root, far (distance to the bucket's pivot), bands, bytes. A pair comes from
+    open_: spot, n (rows of the bucket), cls, root, far and far1 (distances to the bucket's second and first pivot), bands, bytes. A pair comes from
     the first of the buckets that it shares. A large bucket is dealt as tiles, each with each.
     """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
     rows = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.select("spot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "root", "far", "bands", "bytes")
+    rows = rows.select("spot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "root", "far", "far1", "bands", "bytes")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         spot, x, y = (k.as_py() for k in key)
         cls, roots = part.column("cls").to_pylist(), {r: i for i, r in enumerate(dict.fromkeys(part.column("root").to_pylist()))}
         root = np.array([roots[r] for r in part.column("root").to_pylist()])
-        far = np.asarray(part.column("far").combine_chunks().fill_null(np.nan))
+        far, far1 = (np.asarray(part.column(c).combine_chunks().fill_null(np.nan)) for c in ("far", "far1"))
         bands = np.asarray(part.column("bands").combine_chunks().flatten()).reshape(len(cls), -1)
         low = np.stack([np.frombuffer(v, np.uint8) for v in part.column("bytes").to_pylist()])
         tile, names = np.asarray(part.column("own")), np.array(cls, object)
@@ -205,7 +205,8 @@ def _across(open_: DataFrame, similarity: float) -> DataFrame:
         place[order] = np.arange(len(cls))
         found: list[tuple[int, int]] = []
         for i in range(len(cls)):
-            j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~(np.abs(far - far[i]) > 1 - similarity + 1e-9))
+            too_far = (np.abs(far - far[i]) > 1 - similarity + 1e-9) | (np.abs(far1 - far1[i]) > 1 - similarity + 1e-9)
+            j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~too_far)
             j = j[(low[j] == low[i]).mean(axis=1) >= similarity - MARGIN]
             if len(j):
                 first = (bands[j] == bands[i]).argmax(axis=1)
@@ -242,12 +243,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # A second pivot for the buckets left: the class most similar to the first one.
     left = written(left.join(tested.withColumnRenamed("j", "near"), (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left").drop("a", "b"), "left")
     second = left.where("near is not null").groupBy("spot").agg(F.max_by("cls", F.struct("near", "cls")).alias("next"))
+    left = left.withColumn("far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("near")))
     left = written(left.drop("pivot", "near").join(second.withColumnRenamed("next", "pivot"), "spot"), "left")
     more = left.where("cls <> pivot").select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     tested = tested.union(written(_verify(more, texts), "tested"))
     left, labels = still_open(left, tested.where(similar).select("a", "b"))
     far = left.join(tested, (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left")
-    far = far.select("spot", "n", "cls", "root", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far")).join(reps, "cls")
+    far = far.select("spot", "n", "cls", "root", "far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far")).join(reps, "cls")
     across = written(_across(far, similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         last = written(_verify(across, texts, similarity - 1e-12), "tested")
