@@ -6,8 +6,9 @@ arrival is later than every register's earliest. Registers of two documents agre
 (Ertl's J_P). Rows with the same weighted set form a class; bands of registers propose pairs of classes; pairs are verified
 exactly. Within a bucket every class is compared with one pivot, and where several components are left with a second pivot,
 the class closest to the first. Buckets that still hold several components then look for pairs across components; a pair
-is verified unless the pivot's exact distances rule it out (1 - J_P obeys the triangle inequality) or its registers agree
-by MARGIN less than the threshold asks for. Links within a component change nothing and are not looked for.
+is verified unless the pivot's exact distances rule it out (1 - J_P obeys the triangle inequality) or FINE other registers,
+made for the classes of such buckets only, agree by MARGIN less than the threshold asks for. Links within a component
+change nothing and are not looked for.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, free_name, gram_hashes, mix, run_starts, spread, stream, utf8, word_hashes, words, written
+from .common import block_of, chunks, free_name, gram_hashes, mix, run_starts, spread, stream, utf8, word_hashes, words, written
 from .graph import components
 
 #: Words of a shingle, least similarity, bands and registers of a band: 1 - (1 - 0.8**5)**30 = 0.999993 at the threshold.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
-#: How far below the threshold the share of equal registers of a pair may be for it to be verified (3 standard
-#: deviations at the threshold), and classes of a bucket that one task compares with as many others.
-MARGIN, TILE = 0.1, 4096
+#: Registers that pairs across components are judged by, how far below the threshold the share of equal ones may be for a
+#: pair to be verified (3 standard deviations at the threshold, (0.16 / FINE)**0.5 each; twice that for the first quarter
+#: of them, which is looked at before), and classes of a bucket that one task compares with as many others.
+FINE, MARGIN, TILE = 512, 0.055, 4096
 #: Class ids that may be broadcast to pick out the texts to verify (16 bytes each); more are joined by an exchange.
 BROADCAST_CLASSES = 500_000
+#: Hashes of keys that one_of_each() broadcasts at most (8 bytes each before Spark's own overhead).
+SLOTS = 1 << 21
 
 _MASK = (1 << 44) - 1
 _STEP, _ONE, _TWO, _THREE = (int(x) | 1 for x in stream(4, 77))
@@ -131,9 +135,9 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def _classes(docs: DataFrame, text: str, keep: list[str], sign: bool) -> DataFrame:
-    """keep, cls (16 bytes; null without words) and, if sign, bands (array of long) and a byte of each register."""
+    """keep, cls (16 bytes; null without words) and, if sign, bands (array of long)."""
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("cls", T.BinaryType()), *([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bytes", T.BinaryType())] if sign else [])])
+    schema = T.StructType([*fields, T.StructField("cls", T.BinaryType()), *([T.StructField("bands", T.ArrayType(T.LongType()))] if sign else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +148,8 @@ def _classes(docs: DataFrame, text: str, keep: list[str], sign: bool) -> DataFra
                 ids = class_ids(e, c, at)
                 made = [pa.array([None if x else i.tobytes() for i, x in zip(ids, none, strict=True)], pa.binary())]
                 if sign:
-                    registers = signatures(e, c, at)
-                    keys, low = bands_of(registers).view(np.int64), (registers & np.uint64(255)).astype(np.uint8)
+                    keys = bands_of(signatures(e, c, at)).view(np.int64)
                     made.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())))
-                    ends = np.arange(len(low) + 1, dtype=np.int32) * low.shape[1]
-                    made.append(pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low))]))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *made], names=schema.names)
 
@@ -164,6 +165,21 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return written(picked.groupBy("cls").agg(F.first("t").alias("t")), "texts")
 
 
+def _fine(texts: DataFrame) -> DataFrame:
+    """cls and bytes: a byte of each of FINE registers, which are independent of those of the bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column("t"))
+            for a, b in chunks(offsets, 1 << 20):
+                e, c, at = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                low = (signatures(mix(e ^ np.uint64(_TWO)), c, at, FINE) & np.uint64(255)).astype(np.uint8)
+                made = pa.array([row.tobytes() for row in low], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(a, b - a), made], names=["cls", "bytes"])
+
+    return texts.select("cls", "t").mapInArrow(run, "cls binary, bytes binary")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame:
     """The pairs (a, b) of classes with their exact similarity j; those below least are left out."""
     rows = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -207,7 +223,8 @@ def _across(open_: DataFrame, similarity: float) -> DataFrame:
         for i in range(len(cls)):
             too_far = (np.abs(far - far[i]) > 1 - similarity + 1e-9) | (np.abs(far1 - far1[i]) > 1 - similarity + 1e-9)
             j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~too_far)
-            j = j[(low[j] == low[i]).mean(axis=1) >= similarity - MARGIN]
+            for some, margin in ((FINE // 4, 2 * MARGIN), (FINE, MARGIN)):
+                j = j[(low[j, :some] == low[i, :some]).mean(axis=1) >= similarity - margin]
             if len(j):
                 first = (bands[j] == bands[i]).argmax(axis=1)
                 found += [(i, int(k)) for k in j[bands[i][first] == spot]]
@@ -223,7 +240,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     one key and one flag. kept is key = component_id; components whose keys are all null have a null id and are kept.
     """
     signed = written(_classes(docs, text, [key], True), "signatures")
-    reps = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    reps = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"))
     spots = reps.select("cls", F.explode("bands").alias("spot"))
     pivots = spots.groupBy("spot").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(spots.join(pivots, "spot"), "buckets")
@@ -249,11 +266,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     tested = tested.union(written(_verify(more, texts), "tested"))
     left, labels = still_open(left, tested.where(similar).select("a", "b"))
     far = left.join(tested, (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left")
-    far = far.select("spot", "n", "cls", "root", "far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far")).join(reps, "cls")
+    far = far.select("spot", "n", "cls", "root", "far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far"))
+    fine = _fine(texts.join(left.select("cls").distinct(), "cls", "left_semi"))
+    far = far.join(written(reps.join(fine, "cls"), "fine"), "cls")
     across = written(_across(far, similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         last = written(_verify(across, texts, similarity - 1e-12), "tested")
-        labels = components(tested.where(similar).select("a", "b").union(last.select("a", "b"))).toDF("cls", "root")
+        if not last.isEmpty():
+            labels = components(labels.toDF("a", "b").union(last.select("a", "b"))).toDF("cls", "root")
     rows = signed.select(key, "cls").join(labels, "cls", "left").select(key, F.coalesce("root", "cls").alias("root"))
     rows = written(rows, "labelled")
     heads = rows.where("root is not null").groupBy("root").agg(F.min(key).alias("head"), F.count("*").alias("n"))
@@ -268,12 +288,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the smallest key; repeated rows leave one."""
-    groups = near_duplicates(docs, key, text)
-    kept = groups.where("kept").select(F.col(key).alias("k_"), (F.col("n_rows") > 1).alias("shared_")).distinct()
-    one, many = free_name(docs, "row_number"), free_name(docs, "shared")
-    found = docs.join(kept, docs[key].eqNullSafe(F.col("k_"))).drop("k_").withColumnRenamed("shared_", many)
-    alone = found.where(~F.col(many)).drop(many)
+    """docs without near copies: of each component the row with the smallest key; repeated rows leave one.
+
+    Rows that share a key share one fate; rows without a key stay. Only rows whose key may be that of a component of
+    several rows are exchanged with their texts: a broadcast of at most SLOTS hashes picks them out, and the rest pass by.
+    """
+    groups = near_duplicates(docs, key, text).where(F.col("n_rows") > 1).where(F.col(key).isNotNull())
+    fate = written(groups.groupBy(F.col(key).alias("k_")).agg(F.max("kept").alias("stays_")), "fate")
+    slot, one = free_name(docs, "slot"), free_name(docs, "row_number")
+    slots = F.broadcast(fate.select(block_of(SLOTS, "k_").alias(slot)).distinct())
+    rows = docs.withColumn(slot, F.when(F.col(key).isNotNull(), block_of(SLOTS, key)))
+    alone = rows.join(slots, slot, "left_anti").drop(slot)
+    found = rows.join(slots, slot, "left_semi").drop(slot).join(fate, F.col(key) == F.col("k_"), "left")
+    single = found.where("k_ is null").drop("k_", "stays_")
     order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    first = found.where(many).drop(many).withColumn(one, F.row_number().over(order)).where(F.col(one) == 1).drop(one)
-    return alone.union(first)
+    first = found.where("stays_").drop("k_", "stays_").withColumn(one, F.row_number().over(order)).where(F.col(one) == 1).drop(one)
+    return alone.union(single).union(first)
