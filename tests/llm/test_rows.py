@@ -36,6 +36,31 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    """More links than one task takes: the rewrites give what one task gives."""
+    edges = [(i, i + 1) for i in range(40) if i % 7] + [(100, 3), (50, 100), (9, 9), (None, 1)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    one = sorted(tuple(r) for r in components(frame).collect())
+    monkeypatch.setattr("tidelens.llm.graph.TASK_LINKS", 0)
+    assert sorted(tuple(r) for r in components(frame).collect()) == one
+    assert components(frame.where("a < 0")).count() == 0
+
+
+def test_one_of_each_keys(spark):
+    """Rows without a key stay, rows with the same key and text leave one, and hashes that collide change nothing."""
+    same = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, same), (2, same), (3, "quite another text of six words"), (3, "quite another text of six words"), (None, same), (4, None), (5, "")]
+    left = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id for r in left.collect()), key=lambda x: x or 0) == [None, 1, 3, 4, 5]
+    few = pytest.MonkeyPatch()
+    few.setattr(neardup, "SLOTS", 1)
+    try:
+        left = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r.doc_id for r in left.collect()), key=lambda x: x or 0) == [None, 1, 3, 4, 5]
+    finally:
+        few.undo()
+
+
 @pytest.fixture(scope="module")
 def clouds(spark):
     rng = np.random.default_rng(5)
