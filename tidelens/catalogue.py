@@ -477,6 +477,30 @@ def spectrogram_64(spark, d):
     return rounded(spectral.spectrogram(_first_256(spark, d), "ts", "value", 64, 32, 256, "ts", "event_id").drop("frequency"))
 
 
+# The queries above take a prefix, as their SQL fixes it; those below stride over all events.
+def _strided(limit: int) -> str:
+    return f"""WITH o AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, ts, value, user_id, greatest(count(*) OVER () // {limit}, 1) AS step FROM events),
+    s AS (SELECT i // step AS i, ts, value AS x, user_id FROM o WHERE i % step = 0 AND i // step < {limit})"""
+
+
+_DFT_ALL = _strided(256) + _DFT[_DFT.index(",\n    w AS") :]
+
+
+@query(_DFT_ALL + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, round(magnitude * magnitude, 6) AS power FROM m")
+def fft_dft_whole(spark, d):
+    return rounded(spectral.spectrum(events(spark, d), "ts", ["value"], 256, "ts", "event_id").select("bin", "magnitude", "power"))
+
+
+@query(_DFT_ALL + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, (row_number() OVER (ORDER BY magnitude DESC))::INT AS rank FROM m WHERE k >= 1 QUALIFY row_number() OVER (ORDER BY magnitude DESC) <= 5")
+def fft_peaks_whole(spark, d):
+    return rounded(spectral.dominant_peaks(spectral.spectrum(events(spark, d), "ts", ["value"], 256, "ts", "event_id")).select("bin", "magnitude", "rank"))
+
+
+@query(_strided(256) + SQL["spectrogram_64"][SQL["spectrogram_64"].index(",\n    f AS") :])
+def spectrogram_whole(spark, d):
+    return rounded(spectral.spectrogram(events(spark, d), "ts", "value", 64, 32, 256, "ts", "event_id").drop("frequency"))
+
+
 @query()
 def spectral_lowpass(spark, d):
     return rounded(spectral.spectral_filter(events(spark, d), "ts", "value", "lowpass", high_hz=1e-4, max_points=4096))
@@ -581,6 +605,27 @@ def cmi_symbolic(spark, d):
     return rounded(spark.createDataFrame([(float(independence.cmi_symbolic(x[:, 0], x[:, 1], _no_z())[0]),)], "cmi double"))
 
 
+# The two above take a prefix, as their SQL fixes it; these stride over all events.
+_BINS_ALL = _strided(5000) + """, n AS (SELECT count(*) AS c FROM s), b AS (SELECT i, ((row_number() OVER (ORDER BY x, i) - 1) * 10) // c AS a, ((row_number() OVER (ORDER BY user_id, i) - 1) * 10) // c AS b, c FROM s, n),
+    j AS (SELECT a, b, count(*) AS n, any_value(c)::DOUBLE AS c FROM b GROUP BY a, b), m AS (SELECT n, c, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM j)"""
+
+
+def _series(spark, d):
+    return lagged.bounded_series(events(spark, d), ["value", "user_id"], 5000, "ts", "event_id").values
+
+
+@query(_BINS_ALL + " SELECT round(2 * sum(n * ln(n * c / (na * nb))), 6) AS g FROM m")
+def gsquared_whole(spark, d):
+    x = _series(spark, d)
+    return rounded(spark.createDataFrame([(float(independence.g_squared(x[:, 0], x[:, 1], _no_z())[0]),)], "g double"))
+
+
+@query(_BINS_ALL + " SELECT round(sum(n / c * ln(n * c / (na * nb))), 6) AS cmi FROM m")
+def cmi_symbolic_whole(spark, d):
+    x = _series(spark, d)
+    return rounded(spark.createDataFrame([(float(independence.cmi_symbolic(x[:, 0], x[:, 1], _no_z())[0]),)], "cmi double"))
+
+
 _P = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.9]
 
 
