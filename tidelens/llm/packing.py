@@ -92,18 +92,21 @@ def fillings(counts: dict[int, int], room: int, most: int, waste: int, steps: in
         return [(room,)]  # an exact single length dominates everything else
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     found: list[Pattern] = []
+    full = 0
     stack: list[tuple[int, int, Pattern]] = [(0, room, ())]
-    while stack and steps and sum(sum(f) == room for f in found) < most:
+    while stack and steps and full < most:
         steps -= 1
         at, left, chosen = stack.pop()
         if left and counts.get(left, 0) > chosen.count(left) and (not chosen or left <= chosen[-1]):
             found.append((*chosen, left))
+            full += 1
             continue
         while at < len(sizes) and sizes[at] > left:
             at += 1
         if at == len(sizes) or not left:
             if left <= waste:
                 found.append(chosen)
+                full += not left
             continue
         stack.append((at + 1, left, chosen))  # without this length
         if chosen.count(sizes[at]) < counts[sizes[at]]:
@@ -119,7 +122,8 @@ def fillings(counts: dict[int, int], room: int, most: int, waste: int, steps: in
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
     """Patterns and their numbers of bins that hold every length as often as counts says, in as few bins as found.
 
-    Depth-first bin completion over the histogram. The first descent always ends; `nodes` bounds the search after it.
+    Depth-first bin completion over the histogram. The first descent always ends, and its nodes do not count; `nodes`, and
+    two for each different length, bound the search after it, which goes back from the leaves.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     assert all(1 <= s <= capacity for s in counts), "lengths beyond the capacity must be cut first"
@@ -139,14 +143,16 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         return [(top, *f) for f in fillings(rest, capacity - top, FILLINGS, slack)][::-1] if slack >= 0 else []
 
     stack = [(counts, 0, 0, choices(counts, 0))]
+    nodes, descent = nodes + 2 * len(counts), True
     while stack and nodes:
         left, bins, waste, todo = stack[-1]
         if not todo:
+            descent = False
             stack.pop()
             if path:
                 path.pop()
             continue
-        nodes -= 1
+        nodes -= not descent
         pattern = todo.pop()
         need = Counter(pattern)
         times = min(left[s] // n for s, n in need.items())
@@ -154,6 +160,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         path.append((pattern, times))
         bins, waste = bins + times, waste + times * (capacity - sum(pattern))
         if not then:
+            descent = False
             if bins < fewest:
                 incumbent, fewest = Counter(), bins
                 for p, n in path:
@@ -164,6 +171,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         elif bins + -(-sum(s * n for s, n in then.items()) // capacity) < fewest:
             stack.append((then, bins, waste, choices(then, waste)))
         else:
+            descent = False
             path.pop()
     return sorted(incumbent.items())
 
