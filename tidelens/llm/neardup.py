@@ -27,9 +27,9 @@ from .graph import components
 #: Words of a shingle, least similarity, bands and registers of a band: 1 - (1 - 0.8**5)**30 = 0.999993 at the threshold.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
 #: Registers that pairs across components are judged by, how far below the threshold the share of equal ones may be for a
-#: pair to be verified (3 standard deviations at the threshold, (0.16 / FINE)**0.5 each; twice that for the first quarter
+#: pair to be verified (5 standard deviations at the threshold, (0.16 / FINE)**0.5 each; twice that for the first quarter
 #: of them, which is looked at before), and classes of a bucket that one task compares with as many others.
-FINE, MARGIN, TILE = 512, 0.055, 4096
+FINE, MARGIN, TILE = 512, 0.0885, 4096
 #: Class ids that may be broadcast to pick out the texts to verify (16 bytes each); more are joined by an exchange.
 BROADCAST_CLASSES = 500_000
 #: Hashes of keys that one_of_each() broadcasts at most (8 bytes each before Spark's own overhead).
