@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,11 +70,19 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text: str, label: str, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> TextModel:
-    """Fits on the `sample` rows of each label with the lowest hash, `size` characters of each; at most 50 labels."""
-    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 2))
-    names = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(50).collect() if r[0] != UND]
-    pick = lambda name: rows.where(F.col(label) == name).select(F.substring(text, 1, size).alias("t"), F.xxhash64(text).alias("h")).orderBy("h").limit(sample)
-    return TextModel({name: [r.t.encode() for r in pick(name).collect()] for name in names})
+    """Fits on the `sample` distinct texts of each label with the lowest hash, `size` characters of each, for all labels."""
+    rows = labelled.where(F.col(label).isNotNull() & (F.col(label) != UND) & (F.length(text) > 2))
+    rows = rows.select(F.col(label).alias("l"), F.substring(text, 1, size).alias("t"), F.xxhash64(text).alias("h"))
+    # Equal texts have equal hashes: the hashes to take are found first, so that no text is carried through the ranking.
+    hashes = rows.select("l", "h").distinct()
+    salted = Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h")
+    hashes = hashes.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= sample)
+    hashes = hashes.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample)
+    chosen = rows.join(hashes.select("l", "h"), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    samples: dict[str, list[bytes]] = {}
+    for r in chosen.orderBy("l", "h").toLocalIterator():
+        samples.setdefault(r.l, []).append(r.t.encode())
+    return TextModel(samples)
 
 
 def host_parts(url: Column) -> tuple[Column, Column, Column]:
