@@ -19,3 +19,9 @@ def test_the_sample_is_of_distinct_texts(spark, monkeypatch):
 def test_every_label_is_learnt(spark, monkeypatch):
     rows = [(f"text of language {i}", f"l{i:02}") for i in range(60)]
     assert len(taken(monkeypatch, spark.createDataFrame(rows, "text string, lang string"))) == 60
+
+
+def test_a_late_declaration_is_found(spark):
+    page = "<!-- " + "x" * 5000 + " -->" + '<html class="a" lang="de-AT"><body>text</body></html>'
+    rows = spark.createDataFrame([(page,), ("<p>none</p>",)], "html string")
+    assert [r[0] for r in rows.select(language.declared_in(rows.html)).collect()] == ["de", None]

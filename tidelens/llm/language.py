@@ -93,7 +93,7 @@ def host_parts(url: Column) -> tuple[Column, Column, Column]:
 
 def declared_in(html: Column) -> Column:
     """The primary subtag of the lang attribute of the html element, or null."""
-    found = F.lower(F.regexp_extract(F.substring(html, 1, 4096), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     return F.when(found != "", found)
 
 
