@@ -1,6 +1,6 @@
 """The training sample and the evidence of web pages."""
 
-from tidelens.llm import language
+from tidelens.llm import language, registry
 
 
 def taken(monkeypatch, rows, **kwargs):
@@ -25,3 +25,8 @@ def test_a_late_declaration_is_found(spark):
     page = "<!-- " + "x" * 5000 + " -->" + '<html class="a" lang="de-AT"><body>text</body></html>'
     rows = spark.createDataFrame([(page,), ("<p>none</p>",)], "html string")
     assert [r[0] for r in rows.select(language.declared_in(rows.html)).collect()] == ["de", None]
+
+
+def test_op4_is_the_whole_method_over_pages(spark, sf):
+    out = registry.op4_language_id(spark, sf)
+    assert "page_id" in out.columns and out.count() == spark.read.parquet(f"{sf}/pages.parquet").count()

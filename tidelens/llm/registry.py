@@ -34,13 +34,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return language.identify_pages(pages, table(spark, sf_dir, "documents", "text", "lang")).drop("url", "html")
+
+
+def language_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return language.identify_documents(docs).drop("text", "lang", "source")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
-    return language.identify_pages(pages, table(spark, sf_dir, "documents", "text", "lang")).drop("url", "html")
+    return op4_language_id(spark, sf_dir)
 
 
 def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +72,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("url")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_tree_lm, op2_multiprobe_search, op3_best_fit_packing, op4_language_id, op5_byte_bpe, op6_embedding_neardup, op7_warc_revisits, op8_minhash_neardup, op9_substring_dedup, op10_url_filter, language_id_pages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_tree_lm, op2_multiprobe_search, op3_best_fit_packing, op4_language_id, op5_byte_bpe, op6_embedding_neardup, op7_warc_revisits, op8_minhash_neardup, op9_substring_dedup, op10_url_filter, language_id_documents, language_id_pages)}
 SQL: dict[str, str] = {}
