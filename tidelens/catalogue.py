@@ -144,6 +144,12 @@ def sort_head(spark, d):
     return events(spark, d).where("event_id % 2 = 0").orderBy(F.desc("value"), "event_id").limit(100).select("event_id", "value")
 
 
+# The same over all events; the SQL of sort_head fixes its filter.
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
+def sort_head_whole(spark, d):
+    return events(spark, d).orderBy(F.desc("value"), "event_id").limit(100).select("event_id", "value")
+
+
 # --- reductions ---------------------------------------------------------------------------------
 
 
