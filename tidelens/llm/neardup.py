@@ -219,7 +219,8 @@ def _across(open_: DataFrame, similarity: float) -> DataFrame:
         order = np.argsort(names, kind="stable")
         place = np.empty(len(cls), np.int64)
         place[order] = np.arange(len(cls))
-        found: list[tuple[int, int]] = []
+        none = np.zeros(0, np.int32)
+        left, right = [none], [none]
         for i in range(len(cls)):
             too_far = (np.abs(far - far[i]) > 1 - similarity + 1e-9) | (np.abs(far1 - far1[i]) > 1 - similarity + 1e-9)
             j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~too_far)
@@ -227,8 +228,10 @@ def _across(open_: DataFrame, similarity: float) -> DataFrame:
                 j = j[(low[j, :some] == low[i, :some]).mean(axis=1) >= similarity - margin]
             if len(j):
                 first = (bands[j] == bands[i]).argmax(axis=1)
-                found += [(i, int(k)) for k in j[bands[i][first] == spot]]
-        return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[k] for _, k in found], pa.binary())})
+                right.append(j[bands[i][first] == spot].astype(np.int32))
+                left.append(np.full(len(right[-1]), i, np.int32))
+        ids = part.column("cls").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(np.concatenate(left))), "b": ids.take(pa.array(np.concatenate(right)))})
 
     return rows.groupBy("spot", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
