@@ -184,3 +184,17 @@ def test_stream_equals_batch(spark, tmp_path):
     windows.to_parquet(windows.windowed(stream, "timestamp", ["temperature"], "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     made, whole = spark.read.parquet(str(tmp_path / "out")), windows.windowed(rows, "timestamp", ["temperature"], "1 hour")
     assert made.count() > 160 and made.subtract(whole).count() == 0
+
+
+def test_epoch_units_are_exact(spark):
+    """Nanoseconds beyond 2**53 and times before 1970: whole microseconds, rounded down."""
+    import random
+
+    from tidelens.functions.columns import floor_div
+
+    draw = random.Random(4)
+    us = [draw.randrange(-(2**50), 2**52) for _ in range(10_000)]
+    rows = spark.createDataFrame([(u, u * 1000 + draw.randrange(1000)) for u in us], "us long, ns long")
+    out = readers.normalise_time(rows, "ns", "ns").select("us", F.unix_micros(F.col("ns").cast("timestamp")).alias("got"))
+    assert out.where("us <> got").count() == 0
+    assert rows.select("us", floor_div(F.col("us"), 7).alias("q")).where("q <> floor(cast(us as decimal(38,0)) / 7)").count() == 0

@@ -23,17 +23,16 @@ def late(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["fft_dft_whole", "fft_peaks_whole", "spectrogram_whole", "gsquared_whole", "cmi_symbolic_whole"])
+@pytest.mark.parametrize("name", ["fft_dft", "fft_peaks", "spectrogram", "gsquared", "cmi_symbolic"])
 def test_strides_reach_the_end(spark, late, name):
     assert oracle.differences(catalogue.QUERIES[name](spark, late), oracle.connection(late), catalogue.SQL[name]) == ""
 
 
 def test_late_events_have_an_effect(spark, late):
-    assert catalogue.QUERIES["fft_peaks_whole"](spark, late).where("magnitude > 1").count()
-    assert not catalogue.QUERIES["fft_peaks"](spark, late).where("magnitude > 1e-6").count()
+    assert catalogue.QUERIES["fft_peaks"](spark, late).where("magnitude > 1").count()
 
 
 def test_the_head_is_of_all_events(spark, late):
-    out = catalogue.QUERIES["sort_head_whole"](spark, late)
-    assert oracle.differences(out, oracle.connection(late), catalogue.SQL["sort_head_whole"]) == ""
-    assert out.where("event_id % 2 = 1").count() and not catalogue.QUERIES["sort_head"](spark, late).where("event_id % 2 = 1").count()
+    out = catalogue.QUERIES["sort_head"](spark, late)
+    assert oracle.differences(out, oracle.connection(late), catalogue.SQL["sort_head"]) == ""
+    assert out.where("event_id % 2 = 1").count()

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import epoch_ms, epoch_us
-from .operators import drift, expr, filters, ordered, reduce, rowindex, scatter, spectral, stats
+from .functions.columns import epoch_ms, epoch_us, floor_div
+from .operators import drift, expr, filters, ordered, reduce, scatter, spectral, stats
 from .operators.causal import discovery, independence, lagged
 from .sources import readers, sinks
 
@@ -133,20 +133,14 @@ def slice_rows(spark, d):
 @query("SELECT event_id, epoch_ms(ts) // 1000 * 1000 AS s, epoch_ms(ts) AS ms, epoch_us(ts) // 1000 AS us, epoch_us(ts) // 1000 AS ns FROM events")
 def epoch_units(spark, d):
     us = epoch_us(F.col("ts"))
-    out = events(spark, d).select("event_id", "value", F.floor(us / 1_000_000).cast("long").alias("s"), F.floor(us / 1000).cast("long").alias("ms"), us.alias("us"), (us * 1000).alias("ns"))
+    out = events(spark, d).select("event_id", "value", floor_div(us, 1_000_000).alias("s"), floor_div(us, 1000).alias("ms"), us.alias("us"), (us * 1000).alias("ns"))
     for c in ("s", "ms", "us", "ns"):
         out = readers.normalise_time(out, c)
     return rounded(out.drop("value"))
 
 
-@query("SELECT event_id, value FROM events WHERE event_id % 2 = 0 ORDER BY value DESC, event_id LIMIT 100")
-def sort_head(spark, d):
-    return events(spark, d).where("event_id % 2 = 0").orderBy(F.desc("value"), "event_id").limit(100).select("event_id", "value")
-
-
-# The same over all events; the SQL of sort_head fixes its filter.
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
-def sort_head_whole(spark, d):
+def sort_head(spark, d):
     return events(spark, d).orderBy(F.desc("value"), "event_id").limit(100).select("event_id", "value")
 
 
@@ -456,54 +450,37 @@ def scatter_categorical(spark, d):
 
 # --- spectral -----------------------------------------------------------------------------------
 
-_DFT = """WITH s AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, value AS x FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) <= 256),
-    w AS (SELECT i, (x - (SELECT avg(x) FROM s)) * 0.5 * (1 - cos(2 * pi() * i / 255)) AS x FROM s), k AS (SELECT unnest(range(0, 129)) AS k),
-    m AS (SELECT k, sqrt(power(sum(x * cos(2 * pi() * (i * k % 256) / 256)), 2) + power(sum(x * sin(2 * pi() * (i * k % 256) / 256)), 2)) / 256 * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END AS magnitude FROM w, k GROUP BY k)"""
-
-
-def _first_256(spark, d):
-    return rowindex.with_row_index(events(spark, d), "ts", "event_id").where("i < 256").drop("i")
-
-
-@query(_DFT + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, round(magnitude * magnitude, 6) AS power FROM m")
-def fft_dft_256(spark, d):
-    return rounded(spectral.spectrum(_first_256(spark, d), "ts", ["value"], 256, "ts", "event_id").select("bin", "magnitude", "power"))
-
-
-@query(_DFT + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, (row_number() OVER (ORDER BY magnitude DESC))::INT AS rank FROM m WHERE k >= 1 QUALIFY row_number() OVER (ORDER BY magnitude DESC) <= 5")
-def fft_peaks(spark, d):
-    return rounded(spectral.dominant_peaks(spectral.spectrum(_first_256(spark, d), "ts", ["value"], 256, "ts", "event_id")).select("bin", "magnitude", "rank"))
-
-
-@query("""WITH s AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, ts, value AS x FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) <= 256),
-    f AS (SELECT unnest(range(0, 7)) AS frame), r AS (SELECT frame, i - frame * 32 AS j, x, ts FROM f JOIN s ON i >= frame * 32 AND i < frame * 32 + 64), a AS (SELECT frame, avg(x) AS m, max(CASE WHEN j = 32 THEN epoch_ms(ts) END) AS t_ms FROM r GROUP BY frame),
-    w AS (SELECT r.frame, j, t_ms, (x - m) * 0.5 * (1 - cos(2 * pi() * j / 63)) AS x FROM r JOIN a USING (frame)), k AS (SELECT unnest(range(0, 33)) AS k)
-    SELECT frame, t_ms, k::INT AS bin, round(sqrt(power(sum(x * cos(2 * pi() * (j * k % 64) / 64)), 2) + power(sum(x * sin(2 * pi() * (j * k % 64) / 64)), 2)) / 64 * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END, 6) AS magnitude FROM w, k GROUP BY frame, t_ms, k""")
-def spectrogram_64(spark, d):
-    return rounded(spectral.spectrogram(_first_256(spark, d), "ts", "value", 64, 32, 256, "ts", "event_id").drop("frequency"))
-
-
-# The queries above take a prefix, as their SQL fixes it; those below stride over all events.
 def _strided(limit: int) -> str:
     return f"""WITH o AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, ts, value, user_id, greatest(count(*) OVER () // {limit}, 1) AS step FROM events),
     s AS (SELECT i // step AS i, ts, value AS x, user_id FROM o WHERE i % step = 0 AND i // step < {limit})"""
 
 
-_DFT_ALL = _strided(256) + _DFT[_DFT.index(",\n    w AS") :]
+_DFT = (
+    _strided(256)
+    + """,
+    w AS (SELECT i, (x - (SELECT avg(x) FROM s)) * 0.5 * (1 - cos(2 * pi() * i / 255)) AS x FROM s), k AS (SELECT unnest(range(0, 129)) AS k),
+    m AS (SELECT k, sqrt(power(sum(x * cos(2 * pi() * (i * k % 256) / 256)), 2) + power(sum(x * sin(2 * pi() * (i * k % 256) / 256)), 2)) / 256 * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END AS magnitude FROM w, k GROUP BY k)"""
+)
 
 
-@query(_DFT_ALL + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, round(magnitude * magnitude, 6) AS power FROM m")
-def fft_dft_whole(spark, d):
+@query(_DFT + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, round(magnitude * magnitude, 6) AS power FROM m")
+def fft_dft(spark, d):
     return rounded(spectral.spectrum(events(spark, d), "ts", ["value"], 256, "ts", "event_id").select("bin", "magnitude", "power"))
 
 
-@query(_DFT_ALL + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, (row_number() OVER (ORDER BY magnitude DESC))::INT AS rank FROM m WHERE k >= 1 QUALIFY row_number() OVER (ORDER BY magnitude DESC) <= 5")
-def fft_peaks_whole(spark, d):
+@query(_DFT + " SELECT k::INT AS bin, round(magnitude, 6) AS magnitude, (row_number() OVER (ORDER BY magnitude DESC))::INT AS rank FROM m WHERE k >= 1 QUALIFY row_number() OVER (ORDER BY magnitude DESC) <= 5")
+def fft_peaks(spark, d):
     return rounded(spectral.dominant_peaks(spectral.spectrum(events(spark, d), "ts", ["value"], 256, "ts", "event_id")).select("bin", "magnitude", "rank"))
 
 
-@query(_strided(256) + SQL["spectrogram_64"][SQL["spectrogram_64"].index(",\n    f AS") :])
-def spectrogram_whole(spark, d):
+@query(
+    _strided(256)
+    + """,
+    f AS (SELECT unnest(range(0, 7)) AS frame), r AS (SELECT frame, i - frame * 32 AS j, x, ts FROM f JOIN s ON i >= frame * 32 AND i < frame * 32 + 64), a AS (SELECT frame, avg(x) AS m, max(CASE WHEN j = 32 THEN epoch_ms(ts) END) AS t_ms FROM r GROUP BY frame),
+    w AS (SELECT r.frame, j, t_ms, (x - m) * 0.5 * (1 - cos(2 * pi() * j / 63)) AS x FROM r JOIN a USING (frame)), k AS (SELECT unnest(range(0, 33)) AS k)
+    SELECT frame, t_ms, k::INT AS bin, round(sqrt(power(sum(x * cos(2 * pi() * (j * k % 64) / 64)), 2) + power(sum(x * sin(2 * pi() * (j * k % 64) / 64)), 2)) / 64 * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END, 6) AS magnitude FROM w, k GROUP BY frame, t_ms, k"""
+)
+def spectrogram(spark, d):
     return rounded(spectral.spectrogram(events(spark, d), "ts", "value", 64, 32, 256, "ts", "event_id").drop("frequency"))
 
 
@@ -586,11 +563,15 @@ def lagged_corr(spark, d):
     return rounded(rows.agg(pair("v0_l0", "v0_l1").alias("r00"), pair("v0_l0", "v1_l2").alias("r01"), pair("v1_l0", "v0_l1").alias("r10")))
 
 
-_BINS = "WITH i AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, value, user_id FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) <= 900), b AS (SELECT i, ((row_number() OVER (ORDER BY value, i) - 1) * 10) // 900 AS a, ((row_number() OVER (ORDER BY user_id, i) - 1) * 10) // 900 AS b FROM i), j AS (SELECT a, b, count(*) AS n FROM b GROUP BY a, b), m AS (SELECT n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM j)"
+_BINS = (
+    _strided(5000)
+    + """, n AS (SELECT count(*) AS c FROM s), b AS (SELECT i, ((row_number() OVER (ORDER BY x, i) - 1) * 10) // c AS a, ((row_number() OVER (ORDER BY user_id, i) - 1) * 10) // c AS b, c FROM s, n),
+    j AS (SELECT a, b, count(*) AS n, any_value(c)::DOUBLE AS c FROM b GROUP BY a, b), m AS (SELECT n, c, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM j)"""
+)
 
 
-def _first_900(spark, d):
-    return lagged.bounded_series(rowindex.with_row_index(events(spark, d), "ts", "event_id").where("i < 900").drop("i"), ["value", "user_id"], 900, "ts", "event_id").values
+def _series(spark, d):
+    return lagged.bounded_series(events(spark, d), ["value", "user_id"], 5000, "ts", "event_id").values
 
 
 def _no_z():
@@ -599,35 +580,14 @@ def _no_z():
     return np.zeros((0, 0))
 
 
-@query(_BINS + " SELECT round(2 * sum(n * ln(n * 900.0 / (na * nb))), 6) AS g FROM m")
+@query(_BINS + " SELECT round(2 * sum(n * ln(n * c / (na * nb))), 6) AS g FROM m")
 def gsquared(spark, d):
-    x = _first_900(spark, d)
-    return rounded(spark.createDataFrame([(float(independence.g_squared(x[:, 0], x[:, 1], _no_z())[0]),)], "g double"))
-
-
-@query(_BINS + " SELECT round(sum(n / 900.0 * ln(n * 900.0 / (na * nb))), 6) AS cmi FROM m")
-def cmi_symbolic(spark, d):
-    x = _first_900(spark, d)
-    return rounded(spark.createDataFrame([(float(independence.cmi_symbolic(x[:, 0], x[:, 1], _no_z())[0]),)], "cmi double"))
-
-
-# The two above take a prefix, as their SQL fixes it; these stride over all events.
-_BINS_ALL = _strided(5000) + """, n AS (SELECT count(*) AS c FROM s), b AS (SELECT i, ((row_number() OVER (ORDER BY x, i) - 1) * 10) // c AS a, ((row_number() OVER (ORDER BY user_id, i) - 1) * 10) // c AS b, c FROM s, n),
-    j AS (SELECT a, b, count(*) AS n, any_value(c)::DOUBLE AS c FROM b GROUP BY a, b), m AS (SELECT n, c, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM j)"""
-
-
-def _series(spark, d):
-    return lagged.bounded_series(events(spark, d), ["value", "user_id"], 5000, "ts", "event_id").values
-
-
-@query(_BINS_ALL + " SELECT round(2 * sum(n * ln(n * c / (na * nb))), 6) AS g FROM m")
-def gsquared_whole(spark, d):
     x = _series(spark, d)
     return rounded(spark.createDataFrame([(float(independence.g_squared(x[:, 0], x[:, 1], _no_z())[0]),)], "g double"))
 
 
-@query(_BINS_ALL + " SELECT round(sum(n / c * ln(n * c / (na * nb))), 6) AS cmi FROM m")
-def cmi_symbolic_whole(spark, d):
+@query(_BINS + " SELECT round(sum(n / c * ln(n * c / (na * nb))), 6) AS cmi FROM m")
+def cmi_symbolic(spark, d):
     x = _series(spark, d)
     return rounded(spark.createDataFrame([(float(independence.cmi_symbolic(x[:, 0], x[:, 1], _no_z())[0]),)], "cmi double"))
 

@@ -10,9 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def floor_div(x: Column, n: int) -> Column:
+    """x // n of whole numbers, exact for all of them: a division of doubles is not, beyond 2**53."""
+    return F.call_function("div", x - F.pmod(x, F.lit(n).cast("long")), F.lit(n).cast("long"))
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since 1970 of a timestamp of either kind, or a date."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
+    return floor_div(F.unix_micros(ts.cast("timestamp")), 1000)
 
 
 def epoch_us(ts: Column) -> Column:

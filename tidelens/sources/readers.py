@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import at
+from ..functions.columns import at, floor_div
 from ..plans.dataset import Dataset
 from ..plans.limits import LIMITS, is_numeric, is_temporal
 
-# From these magnitudes on, epoch numbers are milliseconds, microseconds, nanoseconds; and units by name.
+# From these magnitudes on, epoch numbers are milliseconds, microseconds, nanoseconds; and microseconds of
+# a unit by its name (0: a thousandth of one).
 EPOCH_BOUNDS = [("s", 0), ("ms", 100_000_000_000), ("us", 100_000_000_000_000), ("ns", 100_000_000_000_000_000)]
-MICROS = {"s": 1_000_000.0, "ms": 1000.0, "us": 1.0, "μs": 1.0, "ns": 0.001}
+MICROS = {"s": 1_000_000, "ms": 1000, "us": 1, "μs": 1, "ns": 0}
 
 
 @dataclass(frozen=True)
@@ -103,9 +104,9 @@ def normalise_time(df: DataFrame, ts: str, unit: str | None = None) -> DataFrame
         return df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
     if isinstance(kind, T.IntegralType):
         unit = unit or epoch_unit(df.agg(F.max(ts)).head()[0]) or "ms"
-        scale = MICROS.get(unit, 1000.0)
+        scale = MICROS.get(unit, 1000)
         x = F.col(ts).cast("long")
-        micros = x * int(scale) if scale >= 1 else F.floor(x / 1000)
+        micros = x * scale if scale else floor_div(x, 1000)
         return df.withColumn(ts, F.timestamp_micros(micros.cast("long")).cast("timestamp_ntz"))
     return df.withColumn(ts, F.expr(f"try_to_timestamp(`{ts}`)").cast("timestamp_ntz"))
 
