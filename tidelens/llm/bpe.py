@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_numbers, chunks, free_name, run_starts, same_bytes, spread, utf8, word_hashes
+from .common import byte_numbers, chunks, free_name, numbers_of, run_starts, same_bytes, spread, utf8, word_hashes
 
 #: Distinct pieces that a task remembers; beyond it the table starts anew (results do not change).
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 200_000
 
 # --- splitting ----------------------------------------------------------------------------------
 
@@ -294,13 +294,7 @@ class Encoder:
         """A number for each piece, equal for equal bytes, and for each such number the place in self's tables."""
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h = word_hashes(raw, starts, ends, PIECE_BYTES)
-        order = np.argsort(h, kind="stable")
-        cut = run_starts(h[order])
-        which = np.empty(len(h), np.int64)
-        which[order] = np.repeat(np.arange(len(cut)), np.diff(cut, append=len(h)))
-        del h
-        one = order[cut]
+        which, one = numbers_of(word_hashes(raw, starts, ends, PIECE_BYTES))
         if not same_bytes(raw, starts, ends, one[which]):  # two different pieces share a hash
             which = np.arange(len(starts))
             one = which
@@ -322,7 +316,7 @@ class Encoder:
 # --- operators ----------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk_bytes: int = 1 << 23) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk_bytes: int = 1 << 21) -> DataFrame:
     """docs with a column of token ids (array of int), as the vocabulary's own library would encode the text.
 
     ranks: path of a rank file that every executor has. Null text encodes as empty: an empty array. Other columns, also

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,6 +205,17 @@ def run_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
 
 
+def numbers_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each value, in ascending order of the values, and for each number the first place that has it."""
+    code, values = pd.factorize(h)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(values)] = np.arange(len(values))
+    which = rank[code]
+    first = np.empty(len(values), np.int64)
+    first[which[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return which, first
+
+
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers of all ranges [start, start+count), one after the other."""
     total = int(counts.sum())

@@ -10,6 +10,7 @@ of their length by rank, which needs one exchange.
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from .bpe import Encoder
 from .common import block_of, chunks, free_name, spread, tasks, utf8, written
 
-#: Tokens of a sequence, the id that ends a document, search nodes, fillings tried at a node.
-CAPACITY, END_ID, NODES, FILLINGS = 1024, 2, 500, 6
+#: Tokens of a sequence, the id that ends a document, search nodes, fillings tried at a node, items completed exactly.
+CAPACITY, END_ID, NODES, FILLINGS, EXACT = 1024, 2, 1000, 6, 14
 
 # --- the search, on a histogram of lengths ------------------------------------------------------
 
@@ -86,16 +87,35 @@ def fits_into(small: Pattern, large: Pattern) -> bool:
     return False
 
 
-def fillings(counts: dict[int, int], room: int, most: int, waste: int, steps: int = 3000) -> list[Pattern]:
-    """Undominated ways to fill room with at most `waste` left, the fullest first; `steps` bounds the enumeration."""
+def dominated(f: Pattern, g: Pattern) -> bool:
+    """Whether g is known to dominate f. Long fillings are tested by first fit alone: one that is kept needlessly costs time."""
+    if len(f) <= 8 and len(g) <= 4:
+        return fits_into(f, g)
+    rooms = list(g)
+    for x in f:
+        i = next((i for i, r in enumerate(rooms) if r >= x), None)
+        if i is None:
+            return False
+        rooms[i] -= x
+    return True
+
+
+def fillings(counts: dict[int, int], room: int, most: int | None, waste: int, steps: int | None = 3000) -> list[Pattern]:
+    """Undominated ways to fill room with at most `waste` left, the fullest first.
+
+    most and steps bound how many are returned and how long they are looked for; None: all of them.
+    """
     if counts.get(room):
         return [(room,)]  # an exact single length dominates everything else
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     found: list[Pattern] = []
     full = 0
     stack: list[tuple[int, int, Pattern]] = [(0, room, ())]
-    while stack and steps and full < most:
-        steps -= 1
+    while stack and (most is None or full < most):
+        if steps is not None:
+            if not steps:
+                break
+            steps -= 1
         at, left, chosen = stack.pop()
         if left and counts.get(left, 0) > chosen.count(left) and (not chosen or left <= chosen[-1]):
             found.append((*chosen, left))
@@ -111,19 +131,56 @@ def fillings(counts: dict[int, int], room: int, most: int, waste: int, steps: in
         stack.append((at + 1, left, chosen))  # without this length
         if chosen.count(sizes[at]) < counts[sizes[at]]:
             stack.append((at, left - sizes[at], (*chosen, sizes[at])))
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f), [-s for s in f]))[: 4 * most]
     kept: list[Pattern] = []
-    for f in found:
-        if not any(len(f) <= 8 and len(g) <= 4 and fits_into(f, g) for g in kept):
+    for f in sorted(set(found), key=lambda f: (-sum(f), len(f), [-s for s in f]))[: None if most is None else 4 * most]:
+        if not any(dominated(f, g) for g in kept):
             kept.append(f)
-    return kept[:most]
+            if len(kept) == most:
+                break
+    return kept
+
+
+def exact_bins(counts: dict[int, int], capacity: int, nodes: int | None = None, below: int | None = None) -> Counter[Pattern] | None:
+    """The fewest bins, by bin completion over all undominated fillings, one bin at a time; exponential in the items.
+
+    below: only a solution of fewer bins is of interest. None if there is none, or if `nodes` nodes do not suffice to tell.
+    """
+    best: list[Pattern] | None = None
+    fewest = below if below is not None else sum(counts.values()) + 1
+    spent = 0
+
+    def go(left: dict[int, int], path: list[Pattern]) -> bool:
+        nonlocal best, fewest, spent
+        if not left:
+            best, fewest = list(path), len(path)
+            return True
+        spent += 1
+        if nodes is not None and spent > nodes:
+            return False
+        slack = (fewest - 1 - len(path)) * capacity - sum(s * n for s, n in left.items())
+        if slack < 0 or len(path) + lower_bound(left, capacity) >= fewest:
+            return True
+        top = max(left)
+        rest = {s: n - (s == top) for s, n in left.items() if n > (s == top)}
+        for f in fillings(rest, capacity - top, None, slack, None):
+            need = Counter(f)
+            if not go({s: n - need[s] for s, n in rest.items() if n > need[s]}, [*path, (top, *f)]):
+                return False
+        return True
+
+    ended = go(dict(counts), [])
+    return Counter(best) if best is not None and (ended or below is not None) else None
 
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
     """Patterns and their numbers of bins that hold every length as often as counts says, in as few bins as found.
 
-    Depth-first bin completion over the histogram. The first descent always ends, and its nodes do not count; `nodes`, and
-    two for each different length, bound the search after it, which goes back from the leaves.
+    Bin completion over the histogram with limited discrepancies. The first descent takes the best filling at every node and
+    is not counted. After it, the search leaves the best path found at one node at a time, nearest the leaves first and
+    then at doubled distances, takes another filling there and descends again; a better solution becomes the path, and its
+    waste the new bound. Every descent ends in a solution: the last EXACT items, or what no filling within the waste bound
+    is left for, are completed by the exact search or by best fit. `nodes`, and four for each different length, bound what
+    comes after the first descent; the search stops at the lower bound, or when no node has another filling.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     assert all(1 <= s <= capacity for s in counts), "lengths beyond the capacity must be cut first"
@@ -132,47 +189,66 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     total = sum(s * n for s, n in counts.items())
     if fewest == bound:
         return sorted(incumbent.items())
-    # A frame: counts left, bins and waste so far, fillings not yet tried, pattern that led here.
-    path: list[tuple[Pattern, int]] = []
+    budget = nodes + 4 * len(counts)
 
     def choices(left: dict[int, int], waste: int) -> list[Pattern]:
         top = max(left)
         slack = (fewest - 1) * capacity - total - waste  # more waste than this cannot beat the incumbent
-        rest = dict(left)
-        rest[top] -= 1
-        return [(top, *f) for f in fillings(rest, capacity - top, FILLINGS, slack)][::-1] if slack >= 0 else []
-
-    stack = [(counts, 0, 0, choices(counts, 0))]
-    nodes, descent = nodes + 2 * len(counts), True
-    while stack and nodes:
-        left, bins, waste, todo = stack[-1]
-        if not todo:
-            descent = False
-            stack.pop()
-            if path:
-                path.pop()
-            continue
-        nodes -= not descent
-        pattern = todo.pop()
+        rest = {s: n - (s == top) for s, n in left.items() if n > (s == top)}
+        return [(top, *f) for f in fillings(rest, capacity - top, FILLINGS, slack)] if slack >= 0 else []
+
+    def taken(left: dict[int, int], pattern: Pattern) -> tuple[int, dict[int, int]]:
         need = Counter(pattern)
         times = min(left[s] // n for s, n in need.items())
-        then = {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
-        path.append((pattern, times))
-        bins, waste = bins + times, waste + times * (capacity - sum(pattern))
-        if not then:
-            descent = False
-            if bins < fewest:
-                incumbent, fewest = Counter(), bins
-                for p, n in path:
-                    incumbent[p] += n
-                if fewest == bound:
+        return times, {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
+
+    def descend(path: list[tuple], left: dict[int, int], bins: int, waste: int, counted: bool, astray: float = 0.0) -> None:
+        """Follows first fillings, or with the chance astray others, from a node to a solution.
+
+        path: (left, bins, waste, choices, pattern, times) of each node.
+        """
+        nonlocal incumbent, fewest, best_path, budget
+        path, end = list(path), Counter()
+        while left:
+            budget -= counted
+            few = sum(left.values()) <= EXACT
+            found = [] if few else choices(left, waste)
+            if not found:
+                own = exact_bins(left, capacity, 2000, fewest - bins) if few else None
+                end = best_fit(left, capacity) if own is None else own
+                bins += sum(end.values())
+                break
+            pattern = found[0] if len(found) == 1 or draw.random() >= astray else draw.choice(found[1:])
+            times, then = taken(left, pattern)
+            path.append((left, bins, waste, found, pattern, times))
+            left, bins, waste = then, bins + times, waste + times * (capacity - sum(pattern))
+        if bins < fewest or best_path is None:
+            best_path = path
+        if bins < fewest:
+            fewest, incumbent = bins, end
+            for *_, pattern, times in path:
+                incumbent[pattern] += times
+
+    best_path: list[tuple] | None = None
+    draw = random.Random(5)
+    descend([], counts, 0, 0, False)
+    searched = None
+    while searched is not best_path and fewest > bound and budget > 0:
+        searched = best_path
+        depth, back = len(searched), 1
+        while back <= depth and searched is best_path and fewest > bound and budget > 0:
+            left, bins, waste, found, *_ = searched[depth - back]
+            for other in found[1:]:
+                times, then = taken(left, other)
+                lost = waste + times * (capacity - sum(other))
+                if total + lost <= (fewest - 1) * capacity and budget > 0:
+                    descend([*searched[: depth - back], (left, bins, waste, found, other, times)], then, bins + times, lost, True)
+                if searched is not best_path or fewest == bound:
                     break
-            path.pop()
-        elif bins + -(-sum(s * n for s, n in then.items()) // capacity) < fewest:
-            stack.append((then, bins, waste, choices(then, waste)))
-        else:
-            descent = False
-            path.pop()
+            back += 1 if back < 8 else back // 4
+        open_nodes = max(1, sum(len(found) > 1 for *_, found, _, _ in searched))
+        while searched is best_path and fewest > bound and budget > 0:
+            descend([], counts, 0, 0, True, draw.choice((2, 4, 8)) / open_nodes)
     return sorted(incumbent.items())
 
 
@@ -204,18 +280,18 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     counts = {r[0]: r[1] for r in items.where(good).groupBy(F.col(length).cast("int").alias("n")).count().collect()}
     table = slots(complete_bins(counts, capacity))
     # Ranks within a length: a frequent length is dealt to many groups, whose sizes give each group its first rank.
-    salt, rank = free_name(items, "salt"), free_name(items, "rank")
+    salt, rank, l_, s_, first_ = (free_name(items, c) for c in ("salt", "rank", "own_length", "own_salt", "first_rank"))
     plain = [c for c, kind in items.dtypes if not kind.startswith("map")]
     salted = items.withColumn(salt, block_of(4 * tasks(spark), *plain))
     group = Window.partitionBy(length, salt)
     sizes = salted.where(good).groupBy(length, salt).count()
     first = sizes.select(
-        F.col(length).alias("l_"), F.col(salt).alias("s_"),
-        (F.sum("count").over(Window.partitionBy(length).orderBy(salt)) - F.col("count")).alias("first_"),
+        F.col(length).alias(l_), F.col(salt).alias(s_),
+        (F.sum("count").over(Window.partitionBy(length).orderBy(salt)) - F.col("count")).alias(first_),
     )
     ranked = salted.withColumn(rank, F.row_number().over(group.orderBy(*plain[:2])))
-    ranked = ranked.join(first, (F.col(length) == F.col("l_")) & (F.col(salt) == F.col("s_")), "left")
-    ranked = ranked.withColumn(rank, F.col("first_") + F.col(rank) - 1).drop(salt, "l_", "s_", "first_")
+    ranked = ranked.join(first, (F.col(length) == F.col(l_)) & (F.col(salt) == F.col(s_)), "left")
+    ranked = ranked.withColumn(rank, F.col(first_) + F.col(rank) - 1).drop(salt, l_, s_, first_)
     names = [free_name(items, "sequence_id"), free_name(items, "offset")]
     schema = T.StructType([*items.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
     given = items.columns
@@ -246,10 +322,10 @@ class _Library:
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat, counts = [], []
-        for a in range(0, len(words), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a : a + 20_000]], add_special_tokens=False)]
+        for a in range(0, len(words), 2000):  # an encoding takes some 1 kB beside its ids
+            got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a : a + 2000]], add_special_tokens=False)]
             counts.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flat.append(np.fromiter((i for ids in got for i in ids), np.int32, int(counts[-1].sum())))
+            flat.append(np.concatenate(got))
         return np.concatenate(flat), np.concatenate(counts)
 
     def row(self, text: bytes) -> np.ndarray:
@@ -271,16 +347,16 @@ def encode_rows(encoder: Encoder, library: _Library, raw: np.ndarray, offsets: n
     return ids, at
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", chunk_bytes: int = 1 << 23) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", chunk_bytes: int = 1 << 21) -> DataFrame:
     """A row per piece: docs' other columns, piece (from 0), start, length, and ids (packed little-endian 32-bit).
 
     A document's ids are those of the tokenizer file and then end_id; null text is empty, so it has one id. Only documents
-    of more than capacity ids are cut; all pieces but the first have exactly capacity. Columns piece, start, length and
-    ids of docs are replaced.
+    of more than capacity ids are cut, however long; all pieces but the first have exactly capacity. Repeated rows each
+    have their pieces, rows of a null key too; an empty table has none. New columns take underscores on a clash.
     """
-    made = ["piece", "start", "length", "ids"]
-    keep = [f for f in docs.schema.fields if f.name not in (*made, text)]
-    schema = T.StructType([*keep, T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    keep = [f for f in docs.schema.fields if f.name != text]
+    kinds = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids": T.BinaryType()}
+    schema = T.StructType([*keep, *(T.StructField(free_name(docs, c), k) for c, k in kinds.items())])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +387,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """The places of all pieces of all documents, with a CRC-32 of each piece's ids instead of the ids."""
+    """The places of all pieces of all documents, with a CRC-32 of each piece's ids instead of the ids.
+
+    Only doc_id and text are looked at; null texts, long ones, repeated rows and an empty table are as in token_pieces().
+    """
     cut = token_pieces(docs.select("doc_id", "text"), tokenizer, pattern, capacity)
     cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(written(cut, "pieces"), capacity=capacity)
