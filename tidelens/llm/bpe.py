@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_numbers, chunks, free_name, numbers_of, run_starts, same_bytes, spread, utf8, word_hashes
+from .common import byte_numbers, chunks, free_name, give_back, numbers_of, run_starts, same_bytes, spread, utf8, word_hashes
 
 #: Distinct pieces that a task remembers; beyond it the table starts anew (results do not change).
 KNOWN_PIECES = 200_000
@@ -337,6 +337,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
                     column = pa.ListArray.from_arrays(pa.array((at[c : d + 1] - at[c]).astype(np.int32)), pa.array(got[at[c] : at[d]]), type=kind)
                     part = batch.slice(a + c, d - c)
                     yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
+        del encoder
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

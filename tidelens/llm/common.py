@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,6 +80,15 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: Spark keeps idle Python workers, with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 # --- Arrow text ---------------------------------------------------------------------------------
 
 

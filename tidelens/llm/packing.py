@@ -14,6 +14,7 @@ import random
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Encoder
-from .common import block_of, chunks, free_name, spread, tasks, utf8, written
+from .common import block_of, chunks, free_name, give_back, spread, tasks, utf8, written
 
 #: Tokens of a sequence, the id that ends a document, search nodes, fillings tried at a node, items completed exactly.
 CAPACITY, END_ID, NODES, FILLINGS, EXACT = 1024, 2, 1000, 6, 14
@@ -323,9 +324,9 @@ class _Library:
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat, counts = [], []
         for a in range(0, len(words), 2000):  # an encoding takes some 1 kB beside its ids
-            got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a : a + 2000]], add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a : a + 2000]], add_special_tokens=False)]
             counts.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flat.append(np.concatenate(got))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(counts[-1].sum())))
         return np.concatenate(flat), np.concatenate(counts)
 
     def row(self, text: bytes) -> np.ndarray:
@@ -382,6 +383,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
                     packed = pa.Array.from_buffers(pa.binary(), d - c, [None, pa.py_buffer((cuts[c : d + 1] - cuts[c]).astype(np.int32)), own])
                     rest = [batch.column(f.name).take(pa.array(a + row[c:d])) for f in keep]
                     yield pa.RecordBatch.from_arrays([*rest, pa.array(piece[c:d].astype(np.int32)), pa.array(start[c:d]), pa.array(length[c:d]), packed], names=names)
+        del encoder
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
