@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,11 +10,10 @@ import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelens.llm import bpe, packing, substrings, suffixtree
-from tidelens.llm.common import utf8, word_hashes, words, written
+from tidelens.llm import bpe, packing, substrings
+from tidelens.llm.common import utf8, word_hashes, words
 
 from .conftest import batch
 
@@ -126,30 +124,3 @@ def test_substrings(spark, sf, odd, empty, brute_words):
         assert Counter(map(tuple, got)) == want
     assert substrings.remove_repeats(empty).count() == 0
     assert {"kept", "rank", "n_removed"} <= set(substrings.remove_repeats(odd).columns)
-
-
-def test_suffix_tree(spark, docs, odd, empty, brute_words):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    fold = suffixtree.fold(F.col("doc_id"))
-    for table in (docs, odd.select("doc_id", "text")):
-        rows = [(r.doc_id, [*brute_words((r.text or "").translate(lower)), None]) for r in table.collect()]
-        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-        c = Counter(w for i, ws in rows if not held(i) for w in ws)
-        n, v = sum(c.values()), len(c)
-        want = Counter((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 5)) for i, ws in rows)
-        got = suffixtree.score(table, fold).collect()
-        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    part = [r for r in suffixtree.score(larger, fold).collect() if r.held_out]
-    assert sum(r.score for r in part) > sum(r.base_score for r in part)
-    assert suffixtree.score(empty.select("doc_id", "text"), fold).count() == 0
-
-
-def test_suffix_tree_is_a_distribution(spark, docs):
-    counts = written(suffixtree.training_counts(docs, "text", 6), "counts")
-    total = counts.where("gram is not null").agg(F.sum("n")).head()[0]
-    tree = suffixtree.fit(counts, total)
-    listed = 10.0 ** tree.log[:, :-1].astype(float)
-    rest = (256 - listed.shape[1]) * 10.0 ** tree.log[:, -1].astype(float)
-    assert abs(listed.sum(axis=1) + rest - 1).max() < 1e-3 and tree.retained > 50
