@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII characters that separate words: tab, line feed, vertical tab, form feed, carriage return, space.
@@ -23,19 +24,35 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, with its scheme: spark.checkpoint.dir. Where that is unset, a session on one
+    machine (as in tests) takes a temporary folder; on a cluster, whose machines would not see it, that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        own = spark.sparkContext.getCheckpointDir()
-        folder = own or tempfile.mkdtemp(prefix="tidelens-")
-        if not own:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidelens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", path).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table below the shared folder."""
-    return f"{shared_folder(spark)}/tidelens-{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table below the shared folder; remove_scratch() takes it away again."""
+    _MADE.append(f"{shared_folder(spark)}/tidelens-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes what this driver's operators have written to the shared folder; results that are not yet stored need it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 #: Whether Spark removes a query's shuffle files when it ends; else they stay until the driver collects its garbage.
@@ -67,6 +84,27 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_uneven(left: DataFrame, right: DataFrame, on: str, n: str, how: str = "inner", parts: int = 10_000) -> DataFrame:
+    """left joined with right, a stored table with one row for each key, whose column n tells how many rows of left have it.
+
+    Keys with more than a parts-th of all those rows are fewer than parts: they are broadcast, so that no task gets all rows
+    of a key; only the other keys' rows are exchanged. how: inner or left. Column n is dropped.
+    """
+    total = right.agg(F.sum(n)).head()[0] or 0
+    heavy = F.broadcast(right.where(F.col(n) > max(1000, total // parts)).drop(n))
+    rest = right.where(F.col(n) <= max(1000, total // parts)).drop(n)
+    return left.join(heavy, on).unionByName(left.join(heavy.select(on), on, "left_anti").join(rest, on, how))
+
+
+def lowest(rows: DataFrame, label: str, h: str, sample: int) -> DataFrame:
+    """label and h: of each label the `sample` lowest different h. Each label is dealt to 64 tasks first."""
+    hashes = rows.select(label, h).distinct()
+    for spread_ in (F.pmod(F.col(h), F.lit(64)), F.lit(0)):
+        order = Window.partitionBy(label, spread_).orderBy(h)
+        hashes = hashes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r")
+    return hashes
+
+
 def block_of(n: int, *columns: str | Column) -> Column:
     """A number below n that depends on the columns' content alone, so that rows without an id spread too."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
@@ -247,3 +285,92 @@ def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.
             return False
         a = b
     return True
+
+
+# --- numbers in few bytes -----------------------------------------------------------------------
+
+
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, none below 0, by planes of bytes."""
+    head, parts = [], []
+    for x in arrays:
+        top = int(x.max()) if len(x) else 0
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        head += [len(x), width]
+        parts.append(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    return squeezed(np.array([len(arrays), *head], "<i8").tobytes() + b"".join(parts))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = unsqueezed(data)
+    k = int.from_bytes(raw[:8], "little")
+    head, at, out = np.frombuffer(raw, "<i8", 2 * k, 8), 8 + 16 * k, []
+    for n, width in zip(head[::2].tolist(), head[1::2].tolist(), strict=True):
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        at += n * width
+    return out
+
+
+def joined(parts: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(n)]
+
+
+# --- blocks of texts ----------------------------------------------------------------------------
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def numbered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each word, and the distinct words in that order, which does not depend on that of the rows."""
+    which, one = numbers_of(word_hashes(raw, starts, ends))
+    data = raw.tobytes()
+    if not same_bytes(raw, starts, ends, one[which]):  # two words share a hash
+        every = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        table = {w: i for i, w in enumerate(sorted(set(every)))}
+        return np.array([table[w] for w in every], np.int64), list(table)
+    return which, [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+
+
+def text_blocks(docs: DataFrame, text: str, block_bytes: int, lower: bool = False, held_out: str | None = None) -> DataFrame:
+    """docs cut into blocks of whole texts, to be stored: block, rows, words, tokens, learnt.
+
+    rows: the other columns as Arrow data. words: the different words of the block, the frequent first, joined by line feeds.
+    tokens: packed numbers of all tokens (from 1 on the words, 0 the end of a text), of tokens of each text, and whether it
+    is not held out; learnt: tokens of the texts that are not. lower: A-Z as a-z.
+    """
+    others = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            raw, offsets = utf8(batch.column(names.index(text)))
+            keep = pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in others], names=[f"c{i}" for i in range(len(others))]) if others else None
+            held = batch.column(names.index(held_out)).to_numpy(zero_copy_only=False).astype(bool) if held_out else np.zeros(batch.num_rows, bool)
+            for a, b in chunks(offsets, block_bytes):
+                own = raw[offsets[a] : offsets[b]]
+                own = _LOWER[own] if lower else own
+                starts, ends, first = words(own, offsets[a : b + 1] - offsets[a])
+                which, found = numbered(own, starts, ends)
+                order = np.argsort(-np.bincount(which, minlength=len(found)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                tokens, sizes = np.insert(rank[which] + 1, first[1:], 0), np.diff(first) + 1
+                sink = pa.BufferOutputStream()
+                if others:
+                    with pa.ipc.new_stream(sink, keep.schema) as out:
+                        out.write_batch(keep.slice(a, b - a))
+                made = [sink.getvalue().to_pybytes(), squeezed(b"\n".join([found[i] for i in order.tolist()])), packed(tokens, sizes, ~held[a:b])]
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in made], pa.array([int(sizes[~held[a:b]].sum())], pa.int64())], names=["rows", "words", "tokens", "learnt"])
+        give_back()
+
+    return docs.mapInArrow(run, "rows binary, words binary, tokens binary, learnt long").select(F.monotonically_increasing_id().alias("block"), "*")

@@ -1,115 +1,174 @@
 """Substring dedup by repeated-phrase automata.
 
-Which passages recur is settled by fingerprints: every window of `width` words is led by the content-chosen anchor (the
-least hashed run of ANCHOR words in it), so equal windows have equal anchors, and only one row for each anchor's group of
-windows is shuffled. A group whose anchor recurs always in the same surroundings is confirmed as a whole; the windows of
-the other recurring anchors are counted one by one. Documents lie in blocks of bounded size. Each block compiles the
-confirmed passages that it holds into an Aho-Corasick automaton of its own (a shard with all patterns that can occur in
-the block) and streams all its documents through it to locate every occurrence.
+A window is `width` consecutive words of one text; windows whose words recur anywhere go. Every window holds a phrase that
+its own content chooses: the run of PHRASE words with the least hash. Equal windows hold equal phrases, so only windows
+around a phrase that recurs can recur.
+
+1. Texts are cut into blocks, stored as numbers of their words. Each block sends the phrases that its windows choose, as
+   text, to shards, which confirm those that are chosen at two places or more: the table of repeated phrases.
+2. Each block is sent the phrases of that table which it may hold, compiles them into an Aho-Corasick automaton, and streams
+   all its texts through it; the automaton locates every occurrence.
+3. The windows whose phrase is located are counted, by fingerprints of 64 bits, on shards again, and the words that a
+   recurring window covers are taken out.
+
+A block sends a phrase or a window once, however often it holds it, so that a very common passage costs a shard a row for
+each block at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_of, free_name, gram_hashes, mix, run_starts, same_bytes, spread, tasks, utf8, word_hashes, words
-
-#: Words of a window, words of an anchor, bytes of text in a block.
-WIDTH, ANCHOR, BLOCK_BYTES = 35, 8, 4 << 20
-
-
-class Windows:
-    """The windows of a block's rows, in groups of the same anchor place."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, width: int):
-        anchor = max(1, min(ANCHOR, width // 4))
-        span = width - anchor + 1
-        self.width, (self.starts, self.ends, self.first) = width, words(raw, offsets)
-        self.hashes = word_hashes(raw, self.starts, self.ends)
-        whole = gram_hashes(self.hashes, width, 0x9FB21C651E98DF25)
-        n = np.diff(self.first)
-        self.at = spread(self.first[:-1], np.maximum(n - width + 1, 0))  # first words of the windows
-        self.key = whole[self.at]
+from .common import free_name, give_back, gram_hashes, packed, run_starts, spread, squeezed, tasks, text_blocks, unpacked, unsqueezed, word_hashes, words, written
+
+#: Words of a window and of a phrase, bytes of text in a block.
+WIDTH, PHRASE, BLOCK_BYTES = 35, 8, 4 << 20
+#: Letters of the automata: a word is written with one letter of each place's own alphabet, so that matches begin at words.
+LETTERS = 64
+
+
+class Block:
+    """A block's words, tokens and windows."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch, width: int):
+        self.tokens, self.sizes, _ = unpacked(rows.column("tokens")[0].as_py())
+        self.blob = unsqueezed(rows.column("words")[0].as_py())
+        self.raw = np.frombuffer(self.blob, np.uint8)
+        self.starts, self.ends, _ = words(self.raw, np.array([0, len(self.raw)]))
+        self.phrase = max(1, min(PHRASE, width // 4))
+        self.width = width
+        hashes = np.concatenate((np.zeros(1, np.uint64), word_hashes(self.raw, self.starts, self.ends)))
+        self.hashes = hashes[self.tokens]
+        first = np.cumsum(self.sizes) - self.sizes
+        self.at = spread(first, np.maximum(self.sizes - width, 0))  # first words of the windows; a text's last token is its end
+        self.grams = grams = gram_hashes(self.hashes, self.phrase)
         if not len(self.at):
-            self.cut = self.size = np.zeros(0, np.int64)
-            self.anchor = self.print = np.zeros(0, np.uint64)
+            self.place = self.at
             return
-        grams = gram_hashes(self.hashes, anchor)
         low = (grams >> np.uint64(32)) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
-        reach = 1
+        span, reach = width - self.phrase + 1, 1
         while reach * 2 <= span:
             low = np.minimum(low[:-reach], low[reach:])
             reach *= 2
         if span > reach:
             low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-        place = (low[self.at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (self.at[1:] != self.at[:-1] + 1)
-        self.cut = np.flatnonzero(new)
-        self.size = np.diff(self.cut, append=len(place))
-        self.anchor = grams[place[self.cut]]
-        last = self.key[self.cut + self.size - 1]
-        self.print = mix(self.key[self.cut] * np.uint64(0xA24BAED4963EE407) + mix(last) + self.size.astype(np.uint64))
-
-    def of_groups(self, groups: np.ndarray) -> np.ndarray:
-        return spread(self.cut[groups], self.size[groups])
-
-
-def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Two 64-bit numbers as one sortable value of 128 bits."""
-    out = np.empty(len(a), dtype=[("a", np.uint64), ("b", np.uint64)])
-    out["a"], out["b"] = a, b
-    return out
-
-
-def passages(windows: Windows, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and lengths in words of the maximal runs of repeated windows."""
-    at = windows.at[repeated]
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1] + 1
-    row = np.searchsorted(windows.first, at, side="right")
-    new[1:] |= row[1:] != row[:-1]
-    cut = np.flatnonzero(new)
-    return at[cut], np.diff(cut, append=len(at)) + windows.width - 1
-
-
-def locate(raw: np.ndarray, windows: Windows, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A flag for each word: whether an occurrence of one of the passages covers it, found by the block's automaton."""
-    covered = np.zeros(len(windows.starts) + 1, np.int64)
-    if not len(start):
-        return covered[:-1] > 0
-    order = np.argsort(windows.hashes, kind="stable")
-    cut = run_starts(windows.hashes[order])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.repeat(np.arange(len(cut)), np.diff(cut, append=len(order)))
-    if not same_bytes(raw, windows.starts, windows.ends, order[cut][number]):
-        table: dict[bytes, int] = {}
-        data = raw.tobytes()
-        number = np.array([table.setdefault(data[a:b], len(table)) for a, b in zip(windows.starts.tolist(), windows.ends.tolist(), strict=True)])
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for a, n in zip(start.tolist(), length.tolist(), strict=True):
-        automaton.add_word(tuple(number[a : a + n].tolist()), n)
-    automaton.make_automaton()
-    for a, b in zip(windows.first[:-1].tolist(), windows.first[1:].tolist(), strict=True):
-        if b - a >= windows.width:
-            for end, n in automaton.iter(tuple(number[a:b].tolist())):
-                covered[a + end - n + 1] += 1
-                covered[a + end + 1] -= 1
-    return np.cumsum(covered[:-1]) > 0
+        self.place = (low[self.at] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # where each window's phrase begins
+
+    def phrases(self, shards: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Shards, texts and whether it is chosen at several places, for each different phrase that windows choose."""
+        place = self.place[run_starts(self.place)]
+        key = self.grams[place]
+        order = np.argsort(key, kind="stable")
+        cut = run_starts(key[order])
+        place, several = place[order][cut], np.diff(cut, append=len(order)) > 1
+        shard = (key[order][cut] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        place, several = place[order], several[order]
+        names = self.blob.split(b"\n")
+        rows = (self.tokens[place[:, None] + np.arange(self.phrase)] - 1).tolist()
+        return shard[order], [b" ".join([names[i] for i in row]) for row in rows], several
+
+    def _written(self, tokens: np.ndarray) -> str:
+        letters = 1
+        while LETTERS**letters <= len(self.starts):
+            letters += 1
+        digits = tokens[:, None] // LETTERS ** np.arange(letters) % LETTERS + LETTERS * np.arange(letters)
+        return digits.astype("<u4").tobytes().decode("utf-32-le")
+
+    def located(self, phrases: list[bytes]) -> np.ndarray:
+        """The windows whose phrase is one of these, as the automaton finds them."""
+        begins = np.zeros(len(self.tokens), bool)
+        if phrases and len(self.at):
+            number = {w: i for i, w in enumerate(self.blob.split(b"\n"), 1)}
+            own = [[number.get(w, 0) for w in p.split(b" ")] for p in phrases]
+            table = np.array([p for p in own if 0 not in p], np.int64).reshape(-1, self.phrase)
+            letters = len(self._written(np.ones(1, np.int64)))
+            text, size = self._written(table.ravel()), letters * self.phrase
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            for i in range(0, len(text), size):
+                automaton.add_word(text[i : i + size], None)
+            if len(table):
+                automaton.make_automaton()
+                ends = np.fromiter((end for end, _ in automaton.iter(self._written(self.tokens))), np.int64)
+                begins[(ends + 1) // letters - self.phrase] = True
+        return np.flatnonzero(begins[self.place])
+
+    def prints(self, windows: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For windows: their different fingerprints by shard and value, their shards, whether each is there several times,
+        and of each window the place among them."""
+        key = gram_hashes(self.hashes, self.width, 0x9FB21C651E98DF25)[self.at[windows]]
+        values, where, n = np.unique(key, return_inverse=True, return_counts=True)
+        shard = self.shard_of(values, shards)  # ascending, as the values are
+        return values, shard, n > 1, where
+
+    @staticmethod
+    def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
+        return ((values >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+    def covered(self, windows: np.ndarray) -> np.ndarray:
+        """Whether each token is covered by one of the windows."""
+        change = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(change, self.at[windows], 1)
+        np.add.at(change, self.at[windows] + self.width, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def texts(self, gone: np.ndarray) -> pa.Array:
+        """The texts of all rows without the words that are gone."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        keep = np.flatnonzero((self.tokens > 0) & ~gone)
+        row, word = row[keep], self.tokens[keep] - 1
+        size = self.ends[word] - self.starts[word]
+        more = np.ones(len(keep), np.int64)  # the blank or line feed that follows a word is taken with it
+        more[np.flatnonzero(np.diff(row, append=-1))] = 0
+        raw = np.append(self.raw, np.uint8(10))[spread(self.starts[word], size + more)]
+        raw[raw == 10] = 32
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, size + more, minlength=len(self.sizes))))).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(self.sizes), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.string())
+
+
+REQUESTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("several", pa.binary())])
+ANSWERS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
+#: Kinds of answers: phrases that recur; the windows that a block has located; which of the fingerprints asked recur.
+PHRASES, LOCATED, RECURRING = range(3)
+
+
+def phrase_shard(key: tuple, rows: pa.Table) -> pa.Table:
+    """The phrases of a shard that are chosen at several places, for each block that has sent them."""
+    every = [unsqueezed(x.as_py()).split(b"\n") for x in rows.column("payload")]
+    several = np.concatenate([unpacked(x.as_py())[0] for x in rows.column("several")])
+    coded = pa.array([p for ps in every for p in ps], pa.binary()).dictionary_encode()
+    at = np.asarray(coded.indices)
+    recurs = (np.bincount(at, 1 + several, minlength=len(coded.dictionary)) > 1)[at]
+    cuts, out = np.cumsum([0, *map(len, every)]).tolist(), []
+    for block, ps, a, b in zip(rows.column("block").to_pylist(), every, cuts[:-1], cuts[1:], strict=True):
+        own = [p for p, r in zip(ps, recurs[a:b].tolist(), strict=True) if r]
+        if own:
+            out.append((PHRASES, block, key[0].as_py(), squeezed(b"\n".join(own))))
+    return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ANSWERS)], schema=ANSWERS)
+
+
+def window_shard(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of the fingerprints that each block has sent, whether they recur; what blocks say of themselves passes through."""
+    own = key[0].as_py()
+    if own < 0:
+        return pa.table([pa.array([LOCATED] * rows.num_rows, pa.int32()), rows.column("block"), rows.column("shard"), rows.column("payload")], schema=ANSWERS)
+    parts = [unpacked(x.as_py()) for x in rows.column("payload")]
+    value = np.concatenate([np.cumsum(p[0].view(np.uint64)) for p in parts])
+    several = np.concatenate([p[1] for p in parts])
+    order = np.argsort(value, kind="stable")
+    cut = run_starts(value[order])
+    recurs = np.empty(len(value), bool)
+    recurs[order] = np.repeat(np.add.reduceat(1 + several[order], cut) > 1, np.diff(cut, append=len(value)))
+    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+    return pa.table([pa.array([RECURRING] * len(parts), pa.int32()), rows.column("block"), rows.column("shard"), pa.array([packed(x.astype(np.int64)) for x in np.split(recurs, cuts)], pa.binary())], schema=ANSWERS)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -118,74 +177,61 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, bloc
     Words are runs of anything but the six ASCII white space characters. A word goes if a window of `width` words that
     covers it has the same words as a window elsewhere, in the same document or another; also repeated rows count as
     elsewhere. Null text has no words and becomes empty. Other columns pass unchanged; the new ones take underscores on a
-    clash. A block holds whole documents, so a longer document makes a larger block.
+    clash. An empty table stays empty. A block holds whole documents, so a longer document makes a larger block.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    blocks = max(tasks(spark), -(-total // block_bytes))
-    plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    spark, shards = docs.sparkSession, tasks(docs.sparkSession)
     given = docs.columns
     names = [free_name(docs, c) for c in ("n_words", "n_removed")]
-    dealt = docs.select(block_of(blocks, *plain).alias("block__"), *[F.col(f"`{c}`") for c in given]).repartition(tasks(spark), "block__")
-    where = given.index(text) + 1
-
-    def anchors(key: tuple, rows: pa.Table) -> pa.Table:
-        w = Windows(*utf8(rows.column(1)), width)
-        order = np.argsort(w.anchor)
-        a, p = w.anchor[order], w.print[order]
-        cut = run_starts(a)
-        n = np.diff(cut, append=len(a))
-        low = np.minimum.reduceat(p.view(np.int64), cut) if len(cut) else p.view(np.int64)
-        high = np.maximum.reduceat(p.view(np.int64), cut) if len(cut) else low
-        return pa.table({"block__": pa.array(np.full(len(cut), key[0].as_py(), np.int32)), "anchor": a[cut].view(np.int64), "n": n, "low": low, "high": high})
-
-    slim = dealt.select("block__", text)
-    found = slim.groupBy("block__").applyInArrow(anchors, "block__ int, anchor long, n long, low long, high long")
-    same = Window.partitionBy("anchor")
-    found = found.select("block__", "anchor", F.sum("n").over(same).alias("n"), (F.min("low").over(same) != F.max("high").over(same)).alias("mixed"))
-    recurring = found.where("n > 1").drop("n")
-
-    def single(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
-        w = Windows(*utf8(rows.column(1)), width) if rows.num_rows else Windows(np.zeros(0, np.uint8), np.zeros(1, np.int64), width)
-        mixed = np.sort(np.asarray(marks.column("anchor")).view(np.uint64))
-        groups = np.flatnonzero(_member(mixed, w.anchor))
-        at = w.of_groups(groups)
-        pairs = np.sort(_pair(np.repeat(w.anchor[groups], w.size[groups]), w.key[at]))
-        cut = run_starts(pairs)
-        n = np.diff(cut, append=len(pairs))
-        return pa.table({
-            "block__": pa.array(np.full(len(cut), key[0].as_py(), np.int32)), "anchor": np.ascontiguousarray(pairs["a"][cut]).view(np.int64),
-            "window": np.ascontiguousarray(pairs["b"][cut]).view(np.int64), "n": n,
-        })
-
-    alone = slim.groupBy("block__").cogroup(recurring.where("mixed").groupBy("block__")).applyInArrow(single, "block__ int, anchor long, window long, n long")
-    alone = alone.select("block__", "anchor", "window", F.sum("n").over(Window.partitionBy("anchor", "window")).alias("n")).where("n > 1").drop("n")
-    confirmed = recurring.where("not mixed").select("block__", "anchor", F.lit(None).cast("long").alias("window")).union(alone)
+    blocks = written(text_blocks(docs, text, block_bytes), "blocks")
+    request, answer = "shard int, block long, payload binary, several binary", "kind int, block long, shard int, payload binary"
+
+    def ask_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, found, several = Block(batch.slice(i, 1), width).phrases(shards)
+                cut = run_starts(shard)
+                ends = np.append(cut, len(shard))[1:]
+                sent = [squeezed(b"\n".join(found[a:b])) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+                flags = [packed(several[a:b].astype(np.int64)) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array([batch.column("block")[i].as_py()] * len(cut), pa.int64()), pa.array(sent, pa.binary()), pa.array(flags, pa.binary())], schema=REQUESTS)
+        give_back()
+
+    asked = blocks.select("block", "words", "tokens").mapInArrow(ask_phrases, request)
+    table = written(asked.groupBy("shard").applyInArrow(phrase_shard, answer), "phrases")
+
+    def ask_windows(key: tuple, rows: pa.Table, got: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return REQUESTS.empty_table()
+        block = Block(rows, width)
+        windows = block.located([p for x in got.column("payload") for p in unsqueezed(x.as_py()).split(b"\n")])
+        values, shard, several, _ = block.prints(windows, shards)
+        cut = run_starts(shard)
+        out = [(-1, None, packed(np.diff(windows, prepend=0)), None)]
+        for a, b in zip(cut.tolist(), np.append(cut, len(shard))[1:].tolist(), strict=True):
+            out.append((int(shard[a]), None, packed(np.diff(values[a:b], prepend=np.uint64(0)), several[a:b].astype(np.int64)), None))
+        return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.binary())], schema=REQUESTS)
+
+    # What a block has located goes to a group of its own, so that the automaton need not run again.
+    asked = blocks.select("block", "words", "tokens").groupBy("block").cogroup(table.groupBy("block")).applyInArrow(ask_windows, request)
+    group = F.when(F.col("shard") < 0, -1 - F.col("block")).otherwise(F.col("shard").cast("long"))
+    found = written(asked.withColumn("g", group).groupBy("g").applyInArrow(window_shard, answer), "windows")
     fields = [f if f.name != text else T.StructField(text, T.StringType()) for f in docs.schema.fields]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in names)])
 
-    def drop(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
-        raw, offsets = utf8(rows.column(where))
-        w = Windows(raw, offsets, width)
-        anchor, window = np.asarray(marks.column("anchor")).view(np.uint64), marks.column("window").combine_chunks()
-        every = np.asarray(window.is_null()) if marks.num_rows else np.zeros(0, bool)
-        full = _member(np.sort(anchor[every]), w.anchor)
-        repeated = np.repeat(full, w.size)
-        listed = np.sort(_pair(anchor[~every], np.asarray(window.drop_null(), np.int64).view(np.uint64)))
-        groups = np.flatnonzero(_member(np.sort(anchor[~every]), w.anchor))
-        at = w.of_groups(groups)
-        repeated[at] = _member(listed, _pair(np.repeat(w.anchor[groups], w.size[groups]), w.key[at]))
-        gone = locate(raw, w, *passages(w, repeated))
-        data, cuts, first = raw.tobytes(), offsets.tolist(), w.first
-        lost = np.concatenate(([0], np.cumsum(gone)))[first]
-        texts = []
-        for i in range(len(cuts) - 1):
-            own = data[cuts[i] : cuts[i + 1]].split()
-            if lost[i + 1] > lost[i]:
-                own = compress(own, (~gone[first[i] : first[i + 1]]).tolist())
-            texts.append(b" ".join(own).decode("utf-8", "replace"))
-        columns = {c: rows.column(i + 1) for i, c in enumerate(given)}
-        columns[text] = pa.array(texts, pa.string())
-        return pa.table([*columns.values(), pa.array(np.diff(first)), pa.array(np.diff(lost))], names=[*given, *names])
-
-    return dealt.groupBy("block__").cogroup(confirmed.groupBy("block__")).applyInArrow(drop, schema)
+    def drop(key: tuple, rows: pa.Table, got: pa.Table) -> pa.Table:
+        block = Block(rows, width)
+        gone = np.zeros(len(block.tokens), bool)
+        if got.num_rows:
+            kind = got.column("kind").to_pylist()
+            windows = np.cumsum(unpacked(got.column("payload")[kind.index(LOCATED)].as_py())[0])
+            answers = sorted((s, x) for k, s, x in zip(kind, got.column("shard").to_pylist(), got.column("payload").to_pylist(), strict=True) if k == RECURRING)
+            if answers:
+                recurs = np.concatenate([unpacked(x)[0] for _, x in answers]) > 0
+                gone = block.covered(windows[recurs[block.prints(windows, shards)[3]]])
+        row = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        removed = np.bincount(row[gone], minlength=len(block.sizes)).astype(np.int64)
+        keep = pa.ipc.open_stream(rows.column("rows")[0].as_py()).read_all()
+        columns = dict(zip([c for c in given if c != text], keep.columns, strict=True)) | {text: block.texts(gone)}
+        return pa.table([*[columns[c] for c in given], pa.array(block.sizes - 1), pa.array(removed)], names=[*given, *names])
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(drop, schema)
