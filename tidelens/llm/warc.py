@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, tasks, written
+from .common import join_uneven, scratch, tasks, written
 
 #: Payloads shorter than this are never revisits; bytes after which a task begins another file; compression level.
 LEAST_BYTES, FILE_BYTES, LEVEL = 1000, 64 << 20, 3
@@ -33,15 +33,18 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     """page_id, url, payload, payload_bytes, payload_digest (hex SHA-1), refers_to (page_id of the original, or null).
 
     The original of equal payloads is the one with the largest page_id; further rows with that very page_id, and rows
-    whose payload has only null ids, are originals too. Null html is an empty payload.
+    whose payload has only null ids, are originals too. Null html is an empty payload. Payloads may be of any length, other
+    columns are left out, and an empty table stays empty. Payloads are exchanged only where more digests than may be
+    broadcast are shared; digests that many records share are broadcast even then.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     heads = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    heads = written(heads.where("n > 1 and original is not null").drop("n"), "originals")
+    heads = written(heads.where("n > 1 and original is not null").drop("payload_bytes"), "originals")
     if heads.count() <= BROADCAST_ROWS:
-        heads = F.broadcast(heads)
-    joined = rows.join(heads, ["payload_digest", "payload_bytes"], "left")
+        joined = rows.join(F.broadcast(heads.drop("n")), "payload_digest", "left")
+    else:
+        joined = join_uneven(rows, heads, "payload_digest", "n", "left")
     refers = F.when(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -80,13 +83,16 @@ def _member(data: bytes) -> bytes:
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes the rows of resolve_revisits below folder (a URI that executors share); returns the manifest: path, records."""
+    """Writes the rows of resolve_revisits below folder (a URI that executors share); returns the manifest: path, records.
+
+    A null page_id makes the record id none, a null or empty url no target; equal rows make a record each. A payload of any
+    length is one record; an empty table makes no file.
+    """
     date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:info>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nformat: WARC/1.1\r\n\r\n\r\n"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, task = pa.fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else pa.fs.LocalFileSystem(), TaskContext.get()
-        top = re.sub(r"^file:/+", "/", folder) if folder.startswith("file:") else pa.fs.FileSystem.from_uri(folder)[1] if "://" in folder else folder
+        (place, top), task = pa.fs.FileSystem.from_uri(folder), TaskContext.get()
         place.create_dir(top)
         out, path, n, made = None, "", 0, []
         for batch in batches:
@@ -142,7 +148,10 @@ def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row per page record: page_id, url, record_type, payload_bytes, payload_digest (hex), refers_to, payload (null in revisits)."""
+    """A row per page record: page_id, url, record_type, payload_bytes, payload_digest (hex), refers_to, payload (null in revisits).
+
+    A record of id none has a null page_id, one without a target a null url; an empty manifest gives no rows.
+    """
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [c.split()[0] for c in schema.split(", ")]
@@ -151,7 +160,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = pa.fs.FileSystem.from_uri(folder)[0] if "://" in folder and not folder.startswith("file:") else pa.fs.LocalFileSystem()
+        place, _ = pa.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, size = [], 0
@@ -175,7 +184,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Writes a record for every page, reads all archives back, and returns what the archives say."""
+    """Writes a record for every page, reads all archives back, and returns what the archives say.
+
+    Nulls, long payloads, repeated rows and an empty table are as in resolve_revisits() and write_archives().
+    """
     folder = scratch(pages.sparkSession, "warc")
     manifest = write_archives(resolve_revisits(pages, least_bytes), folder)
     return read_archives(manifest, folder)
