@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_of, chunks, free_name, gram_hashes, mix, run_starts, spread, stream, utf8, word_hashes, words, written
+from .common import block_of, chunks, free_name, gram_hashes, join_uneven, mix, run_starts, spread, stream, utf8, word_hashes, words, written
 from .graph import components
 
 #: Words of a shingle, least similarity, bands and registers of a band: 1 - (1 - 0.8**5)**30 = 0.999993 at the threshold.
@@ -197,8 +197,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame
     return rows.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("j", T.DoubleType())]))
 
 
-def _across(open_: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) worth verifying: of one bucket, of different components, ruled out neither by distance nor by registers.
+def _across(open_: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """Pairs (a, b) worth verifying: of one bucket, of different components, ruled out neither by distance nor by registers
+    (exact: by distance alone).
 
     open_: spot, n (rows of the bucket), cls, root, far and far1 (distances to the bucket's second and first pivot), bands, bytes. A pair comes from
     the first of the buckets that it shares. A large bucket is dealt as tiles, each with each.
@@ -224,7 +225,7 @@ def _across(open_: DataFrame, similarity: float) -> DataFrame:
         for i in range(len(cls)):
             too_far = (np.abs(far - far[i]) > 1 - similarity + 1e-9) | (np.abs(far1 - far1[i]) > 1 - similarity + 1e-9)
             j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~too_far)
-            for some, margin in ((FINE // 4, 2 * MARGIN), (FINE, MARGIN)):
+            for some, margin in () if exact else ((FINE // 4, 2 * MARGIN), (FINE, MARGIN)):
                 j = j[(low[j, :some] == low[i, :some]).mean(axis=1) >= similarity - margin]
             if len(j):
                 first = (bands[j] == bands[i]).argmax(axis=1)
@@ -236,13 +237,11 @@ def _across(open_: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("spot", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per document: key, component_id (smallest key that similar documents lead to), n_rows of the component, kept.
-
-    Null or empty texts, and texts of white space, link with nothing. Equal texts are linked, repeated rows too: they share
-    one key and one flag. kept is key = component_id; components whose keys are all null have a null id and are kept.
-    """
-    signed = written(_classes(docs, text, [key], True), "signatures")
+def labelled(docs: DataFrame, key: str, text: str, similarity: float, exact: bool) -> DataFrame:
+    """A row per document: k (the key), h (a hash of the text), root (null without words: equal for those that links join)."""
+    docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    text = "text"
+    signed = written(_classes(docs, text, ["k", "h"], True), "signatures")
     reps = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"))
     spots = reps.select("cls", F.explode("bands").alias("spot"))
     pivots = spots.groupBy("spot").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -272,38 +271,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     far = far.select("spot", "n", "cls", "root", "far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far"))
     fine = _fine(texts.join(left.select("cls").distinct(), "cls", "left_semi"))
     far = far.join(written(reps.join(fine, "cls"), "fine"), "cls")
-    across = written(_across(far, similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    across = written(_across(far, similarity, exact).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         last = written(_verify(across, texts, similarity - 1e-12), "tested")
         if not last.isEmpty():
             labels = components(labels.toDF("a", "b").union(last.select("a", "b"))).toDF("cls", "root")
-    rows = signed.select(key, "cls").join(labels, "cls", "left").select(key, F.coalesce("root", "cls").alias("root"))
-    rows = written(rows, "labelled")
-    heads = rows.where("root is not null").groupBy("root").agg(F.min(key).alias("head"), F.count("*").alias("n"))
-    out = rows.join(heads, "root", "left")
+    rows = signed.select("k", "h", "cls").join(labels, "cls", "left").select("k", "h", F.coalesce("root", "cls").alias("root"))
+    return written(rows, "labelled")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    """A row per document: key, component_id (smallest key that similar documents lead to), n_rows of the component, kept.
+
+    Null or empty texts, and texts of white space, link with nothing. Equal texts are linked, repeated rows too: they share
+    one key and one flag. kept is key = component_id; components whose keys are all null have a null id and are kept.
+    Texts may be of any length; columns besides key and text are left out; an empty table stays empty. exact: pairs across
+    components of one bucket are verified unless an exact distance rules them out; else registers may, with the chance that
+    stands beside MARGIN.
+    """
+    rows = labelled(docs, key, text, similarity, exact)
+    heads = written(rows.where("root is not null").groupBy("root").agg(F.min("k").alias("head"), F.count("*").alias("n")), "heads")
+    out = join_uneven(rows, heads.withColumn("n_rows", F.col("n")), "root", "n", "left")
     single = F.col("root").isNull()
     return out.select(
-        key,
-        F.when(single, F.col(key)).otherwise(F.col("head")).alias("component_id"),
-        F.coalesce("n", F.lit(1)).alias("n_rows"),
-        (single | F.col("head").isNull() | (F.col(key) == F.col("head"))).alias("kept"),
+        F.col("k").alias(key),
+        F.when(single, F.col("k")).otherwise(F.col("head")).alias("component_id"),
+        F.coalesce("n_rows", F.lit(1)).alias("n_rows"),
+        (single | F.col("head").isNull() | (F.col("k") == F.col("head"))).alias("kept"),
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the smallest key; repeated rows leave one.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest key (and of these that of the lowest text hash).
 
-    Rows that share a key share one fate; rows without a key stay. Only rows whose key may be that of a component of
-    several rows are exchanged with their texts: a broadcast of at most SLOTS hashes picks them out, and the rest pass by.
+    Rows of one key and text are repeated rows, of which a component leaves one; rows of one key and different texts are
+    documents of their own. Rows without a key and texts without words stay. Texts may be of any length, other columns pass
+    unchanged whatever their names, an empty table stays empty. Only rows whose key may be that of a component of several
+    rows are exchanged with their texts: a broadcast of at most SLOTS hashes picks them out, and the rest pass by.
     """
-    groups = near_duplicates(docs, key, text).where(F.col("n_rows") > 1).where(F.col(key).isNotNull())
-    fate = written(groups.groupBy(F.col(key).alias("k_")).agg(F.max("kept").alias("stays_")), "fate")
-    slot, one = free_name(docs, "slot"), free_name(docs, "row_number")
-    slots = F.broadcast(fate.select(block_of(SLOTS, "k_").alias(slot)).distinct())
+    rows = labelled(docs, key, text, similarity, exact).where("root is not null and k is not null")
+    heads = written(rows.groupBy("root").agg(F.min(F.struct("k", "h")).alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    slot, one, k_, h_, stays = (free_name(docs, c) for c in ("slot", "row_number", "k", "h", "stays"))
+    fate = join_uneven(rows, heads, "root", "n").select(F.col("k").alias(k_), F.col("h").alias(h_), (F.struct("k", "h") == F.col("head")).alias(stays))
+    fate = written(fate.groupBy(k_, h_).agg(F.max(stays).alias(stays)), "fate")
+    slots = F.broadcast(fate.select(block_of(SLOTS, k_).alias(slot)).distinct())
     rows = docs.withColumn(slot, F.when(F.col(key).isNotNull(), block_of(SLOTS, key)))
     alone = rows.join(slots, slot, "left_anti").drop(slot)
-    found = rows.join(slots, slot, "left_semi").drop(slot).join(fate, F.col(key) == F.col("k_"), "left")
-    single = found.where("k_ is null").drop("k_", "stays_")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    first = found.where("stays_").drop("k_", "stays_").withColumn(one, F.row_number().over(order)).where(F.col(one) == 1).drop(one)
+    found = rows.join(slots, slot, "left_semi").drop(slot)
+    found = found.join(fate, (F.col(key) == F.col(k_)) & (F.xxhash64(text) == F.col(h_)), "left")
+    single = found.where(F.col(k_).isNull()).drop(k_, h_, stays)
+    order = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(0))
+    first = found.where(F.col(stays)).drop(k_, h_, stays).withColumn(one, F.row_number().over(order)).where(F.col(one) == 1).drop(one)
     return alone.union(single).union(first)
