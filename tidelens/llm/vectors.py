@@ -14,21 +14,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stream, tasks, written
+from .common import join_uneven, stream, tasks, written
 from .graph import components
 
 #: Search: projections of a table, width of a cell (for unit vectors), tables, buckets visited in each.
 PROJECTIONS, CELL, TABLES, PROBES = 8, 2.5, 6, 48
-#: Rows of one part of the index, and rows of a bucket beyond which it is split among parts.
-PART_ROWS, BUCKET_ROWS = 50_000, 20_000
-#: Near-duplicates: least cosine, vectors of a tile, leading coordinates that bound a tile, tiles whose bounds fit the driver.
-COSINE, TILE, BOX, TILES = 0.9, 4096, 8, 2_000_000
+#: Rows of one part of the index, rows of a bucket beyond which it is split among parts, and how many such buckets may be
+#: broadcast (12 bytes each); more are joined by an exchange.
+PART_ROWS, BUCKET_ROWS, BROADCAST_BUCKETS = 50_000, 20_000, 1_000_000
+#: Near-duplicates: least cosine, vectors of a tile, leading coordinates that bound a tile, tiles whose bounds are broadcast
+#: at most (136 bytes each; with more vectors tiles are larger), tiles a side of what a task compares at a time.
+COSINE, TILE, BOX, TILES, SIDE = 0.9, 4096, 8, 200_000, 3
 
 
-def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
+def usable(rows: DataFrame, key: str, vector: str, all_rows: bool = False) -> DataFrame:
     """key and v (the components as little-endian doubles) of the rows with a vector that has a direction.
 
     Null and zero vectors, and those with null or non-finite components or another length than most rows, are left out.
+    all_rows: they are kept, with a null v.
     """
     most = rows.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = most[0].d if most else 0
@@ -36,17 +39,22 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(vector)
+            column = batch.column(1)
             fits = np.asarray(column.value_lengths().fill_null(0)) == d
             part = batch.filter(pa.array(fits))
-            x = np.asarray(part.column(vector).flatten().cast(pa.float64()).fill_null(np.nan), "<f8").reshape(-1, d or 1)
+            x = np.asarray(part.column(1).flatten().cast(pa.float64()).fill_null(np.nan), "<f8").reshape(-1, d or 1)
             with np.errstate(over="ignore", invalid="ignore"):
                 size = (x * x).sum(axis=1)
             good = np.isfinite(size) & (size > 0)
             x = np.ascontiguousarray(x[good])
             ends = np.arange(len(x) + 1, dtype=np.int32) * (8 * d)
             packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
-            yield pa.RecordBatch.from_arrays([part.column(key).filter(pa.array(good)), packed], names=[key, "v"])
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), packed], names=[key, "v"])
+            if all_rows:
+                out = fits.copy()
+                out[fits] = good
+                rest = batch.column(0).filter(pa.array(~out))
+                yield pa.RecordBatch.from_arrays([rest, pa.nulls(len(rest), pa.binary())], names=[key, "v"])
 
     return rows.select(key, vector).mapInArrow(run, schema)
 
@@ -108,8 +116,10 @@ class Tables:
 def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", projections: int = PROJECTIONS, cell: float = CELL, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """For each usable vector whose key is divisible by `every`: query_id, rank, key and score (cosine) of the k nearest found.
 
-    A query's own key is no candidate, nor are further rows with that key. Null keys take no part. Ties go to the smaller
-    key; equal vectors are candidates each with its own key. Fewer than k candidates give fewer rows.
+    A query's own key is no candidate, nor are further rows with that key; of several vectors of a query's key the smallest
+    by its bytes is the query. Null keys take no part. Ties go to the smaller key; equal vectors are candidates each with its
+    own key. Fewer than k candidates give fewer rows; an empty table, or one without usable vectors, gives none. Vectors may
+    be of any length, other columns are left out.
     """
     spark = rows.sparkSession
     base = usable(rows.where(F.col(key).isNotNull()), key, vector).distinct()
@@ -132,16 +142,19 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", v
 
     held = reps.mapInArrow(own, "bucket long, v binary, ids array<long>")
     sizes = reps.select("v", "ids").mapInArrow(own, "bucket long, v binary, ids array<long>").groupBy("bucket").count()
-    heavy = {r.bucket: -(-r["count"] // BUCKET_ROWS) for r in sizes.where(F.col("count") > BUCKET_ROWS).collect()}
-    most = max(heavy.values(), default=1)
-    split = np.array(sorted(heavy), np.int64)
-    shares = np.array([heavy[b] for b in sorted(heavy)], np.int64)
-    times = F.lit(1)
-    if heavy:
-        times = F.coalesce(F.element_at(F.map_from_arrays(F.lit(split.tolist()), F.lit(shares.tolist())), F.col("bucket")), F.lit(1))
-    held = held.withColumn("part", F.pmod(F.xxhash64("bucket") + F.pmod(F.xxhash64("v"), times), F.lit(parts)).cast("int"))
+    # Buckets of many rows are split among parts; there are at most rows * tables / BUCKET_ROWS of them.
+    heavy = written(sizes.where(F.col("count") > BUCKET_ROWS).select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("times")), "heavy")
+    split = heavy.count()
+
+    def with_times(x: DataFrame) -> DataFrame:
+        if not split:
+            return x.withColumn("times", F.lit(1))
+        return x.join(F.broadcast(heavy) if split <= BROADCAST_BUCKETS else heavy, "bucket", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+
+    held = with_times(held)
+    held = held.withColumn("part", F.pmod(F.xxhash64("bucket") + F.pmod(F.xxhash64("v"), F.col("times")), F.lit(parts)).cast("int")).drop("times")
     # The calls to a part: a query once, with all the buckets that it visits there.
-    queries = usable(rows.where(F.col(key) % every == 0), key, vector).dropDuplicates([key]).toDF("query_id", "v")
+    queries = usable(rows.where(F.col(key) % every == 0), key, vector).groupBy(F.col(key).alias("query_id")).agg(F.min("v").alias("v"))
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +164,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", v
 
     calls = queries.mapInArrow(visited, "query_id long, v binary, buckets array<long>")
     calls = calls.select("query_id", "v", F.explode("buckets").alias("bucket"))
-    if most > 1:
-        calls = calls.withColumn("share", F.explode(F.sequence(F.lit(0), times - 1)))
-    else:
-        calls = calls.withColumn("share", F.lit(0))
+    calls = with_times(calls).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     calls = calls.withColumn("part", F.pmod(F.xxhash64("bucket") + F.col("share"), F.lit(parts)).cast("int"))
     calls = calls.groupBy("part", "query_id").agg(F.first("v").alias("v"), F.collect_set("bucket").alias("buckets"))
 
@@ -267,20 +277,24 @@ def near_links(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", vec
     Distinct vectors are sorted along the first principal axis and cut into tiles. A pair of tiles is compared if boxes
     around their leading coordinates and the largest remaining norms allow the cosine; within it, leading coordinates come
     first, and a pair of vectors goes on only while its product plus the product of the norms that remain can reach it.
-    Vectors that usable() leaves out, and null keys, link with nothing. Repeated rows count as other vectors.
+    Vectors that usable() leaves out, and null keys, link with nothing, whatever other rows share their key. Repeated rows
+    count as other vectors; ties need no rule. Vectors may be of any length, other columns are left out, and an empty table
+    stays empty.
     """
     spark = rows.sparkSession
-    vectors = usable(rows.where(F.col(key).isNotNull()), key, vector)
-    vectors = written(vectors, "vectors")
-    classes = written(vectors.groupBy("v").agg(F.min(key).alias("head"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("c"), "*"), "classes")
-    head = classes.head()
-    out = [F.col(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", key).alias("component_id")]
+    every = usable(rows, key, vector, all_rows=True).select(key, F.when(F.col(key).isNotNull(), F.col("v")).alias("v"))
+    every = written(every.withColumn("cls", F.unhex(F.md5("v"))), "vectors")
+    vectors, bad = every.where("v is not null"), every.where("v is null")
+    bad = bad.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"))
+    classes = vectors.groupBy("cls").agg(F.first("v").alias("v"), F.min(key).alias("head"), F.count("*").alias("n"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "*"), "classes")
+    head, kept = classes.head(), F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))
     if head is None:
-        empty = rows.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"))
-        return empty.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+        return bad.withColumn("kept", kept)
     d = len(head.v) // 8
     axes = principal_axes(classes, d)
     box, count = min(BOX, d), classes.count()
+    tile_rows = max(TILE, -(-count // TILES))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,9 +305,9 @@ def near_links(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", vec
         held: list[pa.RecordBatch] = []
         for batch in itertools.chain(batches, [None]):
             held += [batch] if batch is not None and batch.num_rows else []
-            while held and (batch is None or sum(b.num_rows for b in held) >= TILE):
+            while held and (batch is None or sum(b.num_rows for b in held) >= tile_rows):
                 table = pa.Table.from_batches(held)
-                own, rest = table.slice(0, TILE), table.slice(TILE)
+                own, rest = table.slice(0, tile_rows), table.slice(tile_rows)
                 held = rest.to_batches() if rest.num_rows else []
                 u = unit(matrix(own.column("v")))
                 y = (u @ axes)[:, :box]
@@ -303,46 +317,56 @@ def near_links(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", vec
                 yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([bounds], pa.list_(pa.float64()))], names=["blob", "bounds"])
 
     tiles = classes.select("c", "n", "v").mapInArrow(project, "c long, n long, v binary, x double")
-    tiles = tiles.repartitionByRange(max(1, -(-count // TILE)), "x", "c").sortWithinPartitions("x", "c").mapInArrow(pack, "blob binary, bounds array<double>")
+    tiles = tiles.repartitionByRange(max(1, -(-count // tile_rows)), "x", "c").sortWithinPartitions("x", "c").mapInArrow(pack, "blob binary, bounds array<double>")
     tiles = written(tiles.select(F.monotonically_increasing_id().alias("tile"), "*"), "tiles")
-    assert tiles.count() <= TILES, "more tiles than their bounds can be held"
-    bounds = sorted((r.tile, r.bounds) for r in tiles.select("tile", "bounds").collect())
-    names, edges = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
+    found = sorted((r.tile, r.bounds) for r in tiles.select("tile", "bounds").toLocalIterator())
+    names = np.array([b[0] for b in found])
+    shared = spark.sparkContext.broadcast((names, np.array([b[1] for b in found])))
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, edges = shared.value
         low, high, rest = edges[:, :box], edges[:, box : 2 * box], edges[:, -1]
         for batch in batches:
             for tile in batch.column("tile").to_pylist():
                 i = int(np.searchsorted(names, tile))
                 corners = np.stack([low[i] * low, low[i] * high, high[i] * low, high[i] * high]).max(axis=0).sum(axis=1)
                 fit = np.flatnonzero((corners + rest[i] * rest >= cosine - 1e-9) & (np.arange(len(names)) >= i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fit), tile)), pa.array(names[fit])], names=["i", "j"])
+                columns = [np.full(len(fit), tile), names[fit], np.full(len(fit), i // SIDE), fit // SIDE]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "a", "b"])
 
-    pairs = tiles.select("tile").mapInArrow(partners, "i long, j long")
+    # A task gets the tiles of a square of SIDE by SIDE pairs, each once, and compares the pairs that fit.
+    pairs = written(tiles.select("tile").mapInArrow(partners, "i long, j long, a long, b long"), "pairs")
+    need = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.explode(F.array("i", "j")).alias("tile")).distinct()
+    need = need.join(tiles.select("tile", "blob"), "tile")
     lead = min(d, max(8, 3 * d // 8))
-    left, right = tiles.select(F.col("tile").alias("i"), F.col("blob").alias("bi")), tiles.select(F.col("tile").alias("j"), F.col("blob").alias("bj"))
-    work = written(pairs, "pairs").join(right, "j").repartition(max(tasks(spark), 1), "i", "j").join(left, "i").select("i", "j", "bi", "bj")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                i, j, bi, bj = (c[r].as_py() for c in batch.columns)
-                a = _Tile(bi, axes, lead)
-                b = a if i == j else _Tile(bj, axes, lead)
-                la, lb, label = compare(a, b, i == j, cosine)
-                key_ = a.key if i == j else np.concatenate((a.key, b.key))
-                n = la if i == j else np.concatenate((la, lb))
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key_[some]), pa.array(key_[label[some]]), pa.array(n[some])], names=["a", "b", "n"])
-
-    linked = written(work.mapInArrow(link, "a long, b long, n long"), "links")
+    def link(key_: tuple, listed: pa.Table, own: pa.Table) -> pa.Table:
+        held = dict(zip(own.column("tile").to_pylist(), own.column("blob").to_pylist(), strict=True))
+        made: dict[int, _Tile] = {}
+
+        def tile(i: int) -> _Tile:
+            if i not in made:
+                made[i] = _Tile(held.pop(i), axes, lead)
+            return made[i]
+
+        parts: tuple[list, list, list] = ([], [], [])
+        for i, j in zip(listed.column("i").to_pylist(), listed.column("j").to_pylist(), strict=True):
+            a, b = tile(i), tile(j)
+            la, lb, label = compare(a, b, i == j, cosine)
+            names, n = (a.key, la) if i == j else (np.concatenate((a.key, b.key)), np.concatenate((la, lb)))
+            some = np.flatnonzero(n)
+            for part, x in zip(parts, (names[some], names[label[some]], n[some]), strict=True):
+                part.append(x)
+        return pa.table([pa.array(np.concatenate(x)) for x in parts], names=["a", "b", "n"])
+
+    work = pairs.groupBy("a", "b").cogroup(need.groupBy("x", "y"))
+    linked = written(work.applyInArrow(link, "a long, b long, n long"), "links")
     degree = linked.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n_"))
     root = components(linked.select("a", "b")).toDF("c", "root")
-    full = classes.join(degree, "c", "left").join(root, "c", "left").select("v", "head", F.coalesce("root", "c").alias("root"), (F.coalesce("n_", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    least = full.groupBy("root").agg(F.min("head").alias("component_id"))
-    full = written(full.join(least, "root").select("v", "n_links", "component_id"), "classes")
-    named = vectors.join(full, "v").select(key, "n_links", "component_id", "v")
-    spare = rows.select(key, vector).alias("all")
-    bad = spare.join(vectors.select(F.col(key).alias("k_")).distinct(), F.col(key) == F.col("k_"), "left_anti").select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"))
-    result = named.drop("v").select(*out).union(bad)
-    return result.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    full = classes.drop("v").join(degree, "c", "left").join(root, "c", "left")
+    full = full.select("cls", "n", "head", F.coalesce("root", "c").alias("root"), (F.coalesce("n_", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    full = written(full, "classes")
+    least = written(full.groupBy("root").agg(F.min("head").alias("component_id"), F.count("*").alias("m")), "roots")
+    full = written(join_uneven(full, least, "root", "m").select("cls", "n", "n_links", "component_id"), "classes")
+    result = join_uneven(vectors.select(key, "cls"), full, "cls", "n").select(key, "n_links", "component_id").union(bad)
+    return result.withColumn("kept", kept)
