@@ -11,28 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelens.llm import language, neardup, packing, substrings
-from tidelens.llm.common import table, written
+from tidelens.llm.common import free_name, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language is not one that the labels name, or is not sure; the label becomes the language found."""
-    found = language.identify_documents(docs)
-    return found.where("accepted").withColumn("lang", F.col("language")).select(*docs.columns)
+    """Rejects documents whose language is not one that the labels name, or is not sure; the label becomes the language found.
+
+    So null and empty texts go. A null lang or source is no evidence; repeated rows share their fate; texts may be of any
+    length; further columns pass unchanged, whatever their names; an empty table stays empty.
+    """
+    accepted, found = free_name(docs, "accepted"), free_name(docs, "language")
+    return language.identify_documents(docs).where(F.col(accepted)).withColumn("lang", F.col(found)).select(*docs.columns)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: that of the smallest doc_id.
+
+    Documents without words and those of a null doc_id stay; repeated rows leave one; texts may be of any length; further
+    columns pass unchanged, whatever their names; an empty table stays empty.
+    """
     return neardup.one_of_each(docs).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring passages out of the texts; a document of which nothing is left goes."""
-    left = substrings.remove_repeats(docs).where("n_words > n_removed")
+    """Takes recurring passages out of the texts; a document of which nothing is left goes, so null and empty texts do.
+
+    Repeated rows lose all passages that they share. Texts may be of any length; n_chars becomes that of what is left;
+    further columns pass unchanged, whatever their names; an empty table stays empty.
+    """
+    n_words, n_removed = free_name(docs, "n_words"), free_name(docs, "n_removed")
+    left = substrings.remove_repeats(docs).where(F.col(n_words) > F.col(n_removed))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' token pieces in sequences of 1024."""
+    """The places of all documents' token pieces in sequences of 1024.
+
+    Null texts are empty and have one token; long ones are cut; repeated rows and null doc_ids have their places; only
+    doc_id and text are looked at; an empty table has no places.
+    """
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
