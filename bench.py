@@ -13,6 +13,7 @@ from tidelens.session import session
 HEADLINE = [
     "time_filter", "range_filter", "line_filter_above", "bucket_mean", "tumbling_hour", "sliding_6h_2h30", "lttb_downsample", "profile_columns", "histogram_24",
     "column_stats", "pearson", "spearman_ties", "kde_64", "density_20x20", "rolling_bands_w50", "anomaly_zscore", "outlier_global_z", "fft_peaks", "ks_two_sample", "wasserstein", "psi", "lagged_corr",
+    "corr_matrix", "drift_windows_daily", "window_quantiles", "spectrogram", "rolling_bands_by_type", "outlier_windowed_iqr", "pcmci_edges",
 ]
 
 

@@ -198,3 +198,118 @@ def test_epoch_units_are_exact(spark):
     out = readers.normalise_time(rows, "ns", "ns").select("us", F.unix_micros(F.col("ns").cast("timestamp")).alias("got"))
     assert out.where("us <> got").count() == 0
     assert rows.select("us", floor_div(F.col("us"), 7).alias("q")).where("q <> floor(cast(us as decimal(38,0)) / 7)").count() == 0
+
+
+@pytest.mark.parametrize(("held", "look"), [(200_000, 10_000), (900, 100), (0, 100)])
+def test_order_statistics(spark, monkeypatch, held, look):
+    """All values in one bracket, brackets of a first look, and running sums: the same places."""
+    monkeypatch.setattr(stats, "HELD", held)
+    monkeypatch.setattr(stats, "LOOK", look)
+    draw = np.random.default_rng(1)
+    x = {"a": np.round(draw.normal(size=3000), 2), "b": draw.exponential(size=3000), "c": np.array([7.0])}
+    rows = [(name, float(v)) for name, values in x.items() for v in values] + [("a", None), ("d", None)]
+    long = spark.createDataFrame(rows, "series string, x double").repartition(5)
+    found = stats.quantiles(long, [0.0, 0.25, 0.5, 0.75, 1.0], [F.max("x").alias("top")])
+    for name, values in x.items():
+        row, got = found[name]
+        assert row["n"] == len(values) and row["top"] == values.max()
+        assert got == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.75, 1.0]).tolist(), abs=1e-12)
+    assert found["d"][1] == [None] * 5
+
+
+@pytest.mark.parametrize("held", [200_000, 0])
+def test_ranks(spark, monkeypatch, held):
+    import pandas as pd
+
+    monkeypatch.setattr(stats, "HELD", held)
+    draw = np.random.default_rng(2)
+    frame = pd.DataFrame({"a": draw.integers(0, 9, 400), "b": draw.normal(size=400), "c": np.where(draw.random(400) < 0.2, np.nan, draw.normal(size=400))})
+    frame["c"] += frame["a"]
+    df = spark.createDataFrame(frame.astype(float)).replace(float("nan"), None)
+    got = {(r.col_i, r.col_j): (r.pearson, r.spearman) for r in stats.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    for i in "abc":
+        for j in "abc":
+            both = frame[[i, j]].dropna() if i != j else frame[[i]].dropna().assign(k=1)
+            if i != j:
+                ranks = both.rank()
+                assert got[i, j] == pytest.approx((np.corrcoef(both[i], both[j])[0, 1], np.corrcoef(ranks[i], ranks[j])[0, 1]), abs=1e-9)
+            else:
+                assert got[i, j] == (1.0, 1.0)
+
+
+def test_windows_against_a_reference(spark):
+    """KS and Wasserstein of several windows with ties, against both empirical functions."""
+    draw = np.random.default_rng(3)
+    ref = np.round(draw.normal(size=200), 1)
+    windows = {0: np.round(draw.normal(0.5, 2, 60), 1), 1: np.round(draw.normal(size=5), 1), 2: np.array([9.0] * 6), 3: np.array([-9.0, 9.0, 0.0, 0.05, 0.1])}
+    counts = spark.createDataFrame([(w, float(v), int(c)) for w, x in windows.items() for v, c in zip(*np.unique(x, return_counts=True), strict=True)], "w long, v double, c long")
+    sizes = spark.createDataFrame([(w, len(x)) for w, x in windows.items()], "w long, nw long")
+    placed = rowindex.with_row_index(spark.createDataFrame([(float(v),) for v in ref], "v double"), "v")
+    got = {r.w: (r.ks, r.wasserstein) for r in drift.against_reference(counts, sizes, placed.groupBy("v").agg(F.count("*").alias("r")), placed, len(ref)).collect()}
+    for w, x in windows.items():
+        axis = np.unique(np.concatenate((ref, x)))
+        f, g = ((s[:, None] <= axis).mean(axis=0) for s in (ref, x))
+        assert got[w] == pytest.approx((np.abs(f - g).max(), float((np.abs(f - g)[:-1] * np.diff(axis)).sum())), abs=1e-9)
+
+
+def test_latent_causes():
+    """A chain keeps its lagged links; a hidden common cause leaves an open link at lag 0; a collider is pointed at."""
+    from tidelens.operators.causal.lagged import Series
+
+    draw = np.random.default_rng(4)
+    n = 1500
+    x, y, z = (np.zeros(n) for _ in range(3))
+    e = draw.normal(size=(3, n))
+    for t in range(1, n):
+        x[t] = e[0, t]
+        y[t] = 0.8 * x[t - 1] + e[1, t]
+        z[t] = 0.8 * y[t - 1] + e[2, t]
+    run = discovery.Runner(Series(np.stack([x, y, z], axis=1), ["x", "y", "z"]), 2)
+    links = discovery.discover(run, "lpcmci", alpha=0.001)
+    assert {(link["source"], link["target"], link["lag"], link["type"]) for link in links} >= {(0, 1, 1, "-->"), (1, 2, 1, "-->")}
+    assert not any(link["lag"] == 1 and (link["source"], link["target"]) == (2, 0) for link in links)
+    hidden = draw.normal(size=n)
+    a, b = hidden + draw.normal(size=n), hidden + draw.normal(size=n)
+    links = discovery.discover(discovery.Runner(Series(np.stack([a, b], axis=1), ["a", "b"]), 1), "lpcmci", alpha=0.001)
+    assert [(link["source"], link["target"], link["lag"], link["type"]) for link in links] == [(0, 1, 0, "o-o")]
+
+
+def test_colliders_of_open_links():
+    """Two causes of one variable, apart from each other whatever is given: both links point at it."""
+
+    class Told:
+        series, tau_max = type("S", (), {"names": ["a", "b", "c"]}), 1
+
+        def many(self, asked):
+            return [(0.5, 0.0) if {i, j} in ({0, 2}, {1, 2}) and not lag else (0.0, 1.0) for (i, lag), j, _ in asked]
+
+    links = discovery.discover(Told(), "lpcmci")
+    assert [(link["source"], link["target"], link["lag"], link["type"]) for link in links] == [(0, 2, 0, "-->"), (1, 2, 0, "-->")]
+
+
+def test_range_filter_of_whole_numbers_reaches_the_scan(spark, sf):
+    rows = filters.apply_filters(spark.read.parquet(f"{sf}/events.parquet"), "ts", ranges=[filters.RangeFilter("user_id", 9.5, 20.2)])
+    plan = rows.select("value")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(user_id,10)" in plan and "LessThanOrEqual(user_id,20)" in plan
+
+
+def test_results_for_one_reader_are_bounded(hourly):
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        sinks.to_arrow_stream(hourly, most=10)
+    assert sinks.to_json_columns(hourly.limit(2), "ts", ["col_a"]).startswith('{"ts": [1704067200000')
+
+
+def test_cached_results_count_their_bytes(hourly):
+    explorer = Explorer(Dataset(hourly, "ts"))
+    first = explorer.data("2024-01-01", "2024-01-20", 50, "col_a")
+    assert explorer.data("2024-01-01", "2024-01-20", 50, "col_a") is first and first.count() > 0
+    assert sum(size for _, size, _ in explorer.cache.held.values()) > 0
+
+
+def test_rolling_bands_by_group(spark):
+    rows = spark.createDataFrame([(i, i % 3, float(i * i % 17)) for i in range(300)], "t long, k long, v double").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    together = ordered.rolling_bands(rows, "ts", "v", 7, "ts", by="k")
+    for k in range(3):
+        alone = ordered.rolling_bands(rows.where(F.col("k") == k), "ts", "v", 7, "ts")
+        got = sorted(tuple(r)[1:] for r in together.where(F.col("k") == k).collect())
+        assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in sorted(map(tuple, alone.collect()))]

@@ -372,6 +372,15 @@ def rolling_bands_w50(spark, d):
     return rounded(ordered.rolling_bands(events(spark, d), "ts", "value", 50, "ts", "event_id").drop("ts"))
 
 
+_BY_TYPE = _FRAME.replace("(ORDER", "(PARTITION BY event_type ORDER")
+
+
+@query(f"""SELECT event_type, event_id, round(m, 6) AS mean, round(m + s, 6) AS upper1, round(m - s, 6) AS lower1, round(m + 2 * s, 6) AS upper2, round(m - 2 * s, 6) AS lower2
+    FROM (SELECT event_type, event_id, CASE WHEN count(value) {_BY_TYPE} >= 2 THEN avg(value) {_BY_TYPE} END AS m, CASE WHEN count(value) {_BY_TYPE} >= 2 THEN stddev_pop(value) {_BY_TYPE} END AS s FROM events)""")
+def rolling_bands_by_type(spark, d):
+    return rounded(ordered.rolling_bands(events(spark, d), "ts", "value", 50, "ts", "event_id", by="event_type").drop("ts"))
+
+
 def _anomaly_sql(score: str, extra: str) -> str:
     return f"""WITH i AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, {score} AS score FROM events, {extra}),
     f AS (SELECT *, i - row_number() OVER (ORDER BY i) AS run FROM i WHERE score IS NOT NULL)
@@ -541,6 +550,30 @@ def drift_windows_daily(spark, d):
     return rounded(found.where("n > 0").select("window_ms", "n", "mean", "std", "ks", "wasserstein"))
 
 
+_IN_WINDOWS = "cur AS (SELECT epoch_ms(ts) // 86400000 AS w, value AS v FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events)), s AS (SELECT w, v, row_number() OVER (PARTITION BY w ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY w) AS n FROM cur)"
+
+
+def _windows(spark, d):
+    return drift.window_distributions(events(spark, d), "ts", "value", "daily", "2024-01-01", "2024-01-08", 10)
+
+
+@query(f"WITH {_IN_WINDOWS} SELECT w, q, v AS x FROM s JOIN (VALUES (0.05::DOUBLE), (0.25), (0.5), (0.75), (0.95)) p(q) ON i = floor(q * (n - 1) + 0.5)")
+def window_quantiles(spark, d):
+    return _windows(spark, d)["quantiles"]
+
+
+@query(f"WITH {_IN_WINDOWS} SELECT w, v AS x, round((i + 1) / n::DOUBLE, 9) AS y FROM s WHERE i % greatest(n // 200, 1) = 0")
+def window_ecdf(spark, d):
+    return _windows(spark, d)["ecdf"].select("w", "x", F.round("y", 9).alias("y"))
+
+
+@query(f"""WITH {_IN_WINDOWS}, r AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE {_REF}),
+    e AS (SELECT v AS lo, lead(v) OVER (ORDER BY v) AS hi, (row_number() OVER (ORDER BY v) - 1)::INT AS bin FROM (SELECT DISTINCT r.v FROM r JOIN (SELECT unnest(range(0, 11)) AS k) g ON r.i = floor((r.n - 1) * g.k / 10.0::DOUBLE + 0.5)))
+    SELECT w, bin, count(*) AS n FROM cur JOIN e ON v >= lo AND (v < hi OR v = hi AND hi = (SELECT max(hi) FROM e)) WHERE hi IS NOT NULL GROUP BY w, bin""")
+def window_histogram(spark, d):
+    return _windows(spark, d)["histogram"]
+
+
 @query()
 def drift_levels_daily(spark, d):
     return rounded(drift.order_windows(drift.drift(events(spark, d), "ts", "value", "daily", "2024-01-01", "2024-01-08"), "severity"))

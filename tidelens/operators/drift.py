@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import at, epoch_ms, finite, instant
 from ..functions.special import ks_tail
+from ..plans.scratch import settled
 from .rowindex import with_row_index, with_running_sums
-from .stats import edge_bin
+from .stats import QUANTILES, edge_bin
 
 #: Window lengths in milliseconds by name; fewest values of a window that is tested; most reference values of a test by permutation.
 WINDOWS, LEAST, ES_REFERENCE = {"hourly": 3_600_000, "daily": 86_400_000, "weekly": 604_800_000}, 5, 400
@@ -104,10 +105,8 @@ def es_test(a: np.ndarray, b: np.ndarray, seed: int = 42) -> tuple[float, float]
     return found, (more + 1) / (rounds + 1)
 
 
-def reference_edges(reference: DataFrame, bins: int) -> tuple[list[float], bool]:
-    """Quantile edges without repetitions, or equal-width ones (and True) if too few are left."""
-    placed = with_row_index(reference, "v")
-    n = placed.count()
+def reference_edges(placed: DataFrame, n: int, bins: int) -> tuple[list[float], bool]:
+    """Quantile edges without repetitions, or equal-width ones (and True) if too few are left. placed: v with its index i."""
     wanted = sorted({int((n - 1) * i / bins + 0.5) for i in range(bins + 1)})
     edges = sorted({r.v for r in placed.where(F.col("i").isin(wanted)).collect()})
     if len(edges) >= 2 and len(edges) >= bins / 2 + 2:
@@ -121,6 +120,41 @@ def level(w: Column, psi_: Column, threshold: float) -> Column:
     return F.when((w > threshold) | (psi_ >= RED), "red").when(psi_ >= YELLOW, "yellow").otherwise("green")
 
 
+def against_reference(counts: DataFrame, sizes: DataFrame, reference: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """w, ks, wasserstein of each window (counts: w, v, c; sizes: w, nw) against a reference (v, r; placed: v with index i).
+
+    On the values of both, running sums give the reference's distribution function F and its integral at any value, so a
+    window needs them at its own values only. Between two of these its own function g is constant; F - g is largest at one
+    end, and where F crosses g inside, it does so at the reference's value of rank g * n, which the index has.
+    """
+    own = counts.select("v").distinct().withColumn("r", F.lit(0).cast("long"))
+    both = reference.select("v", "r").union(own).groupBy("v").agg(F.sum("r").alias("r"))
+    sums = with_running_sums(both.withColumn("vr", F.col("v") * F.col("r")), "v", {"upto": "r", "total": "vr"})
+    at_value = sums.select("v", (F.col("upto") / n).alias("f"), ((F.col("upto") - F.col("r")) / n).alias("f0"), ((F.col("v") * F.col("upto") - F.col("total")) / n).alias("area"))
+    at_value = settled(at_value, "reference")
+    ends = at_value.where("f >= 1").agg(F.min(F.struct("v", "area")).alias("e")).head()
+    top, top_area = (ends.e["v"], ends.e["area"]) if ends.e else (0.0, 0.0)
+    order = Window.partitionBy("w").orderBy("v")
+    rows = counts.join(sizes, "w").join(at_value, "v")
+    rows = rows.withColumn("seen", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"g": F.col("seen") / F.col("nw"), "first": F.row_number().over(order) == 1, **{f"next_{c}": F.lead(c).over(order) for c in ("v", "f0", "area")}})
+    rows = settled(rows, "windows")
+    above, below = F.col("f") >= F.col("g"), F.col("next_f0") <= F.col("g")
+    rise, flat = F.col("next_area") - F.col("area"), F.col("g") * (F.col("next_v") - F.col("v"))
+    plain = rows.where("next_v is null or f >= g or next_f0 <= g")
+    gap = F.greatest(F.abs(F.col("f") - F.col("g")), F.abs(F.coalesce(F.col("next_f0"), F.lit(1.0)) - F.col("g")), F.when(F.col("first"), F.col("f0")).otherwise(0.0))
+    before = F.when(F.col("first"), F.col("area")).otherwise(0.0)
+    after = F.when(F.col("v") < top, (top - F.col("v")) - (top_area - F.col("area"))).otherwise(0.0)
+    inside = F.when(F.col("next_v").isNull(), after).when(above, rise - flat).when(below, flat - rise)
+    part = plain.select("w", gap.alias("ks"), (inside + before).alias("wasserstein"))
+    crossing = rows.where("next_v is not null and f < g and next_f0 > g").withColumn("rank", F.ceil(F.col("g") * n - 1e-9).cast("long") - 1)
+    met = crossing.join(placed.select(F.col("i").alias("rank"), F.col("v").alias("cv")), "rank").join(at_value.select(F.col("v").alias("cv"), F.col("area").alias("carea")), "cv")
+    up_to, beyond = F.col("carea") - F.col("area"), F.col("next_area") - F.col("carea")
+    middle = F.col("g") * (F.col("cv") - F.col("v")) - up_to + beyond - F.col("g") * (F.col("next_v") - F.col("cv"))
+    part = part.union(met.select("w", gap, middle + before))
+    return part.groupBy("w").agg(F.max("ks").alias("ks"), F.sum("wasserstein").alias("wasserstein"))
+
+
 def drift(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any, bins: int = 20, threshold: float | None = None, permutations: bool = True) -> DataFrame:
     """A row per window from the reference's end to the last time: counts, moments, KS, Wasserstein, PSI, Epps-Singleton, level.
 
@@ -135,7 +169,8 @@ def drift(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any
     if s.n < LEAST:
         raise ValueError(f"the reference has {s.n} values, fewer than {LEAST}")
     threshold = threshold if threshold is not None else max(0.1 * s.sd, 1e-9)
-    edges, fallback = reference_edges(ref, bins)
+    placed = with_row_index(ref, "v")
+    edges, fallback = reference_edges(placed, s.n, bins)
     last = rows.agg(F.max("t")).head()[0]
     from_ms = int((instant(end) - instant(0)).total_seconds() * 1000)
     current = rows.where((F.col(ts) >= at(end)) & (F.col("t") < last)).withColumn("w", F.floor(F.col("t") / size).cast("long"))
@@ -144,15 +179,9 @@ def drift(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any
     stats = current.groupBy("w").agg(
         F.count("v").alias("n"), F.sum(F.col("v").isNull().cast("long")).alias("nulls"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
     )
-    # KS and Wasserstein: the reference joins each window's values on a common axis, in that window's own partition.
-    ref_counts = ref.groupBy("v").agg(F.count("*").alias("r"))
-    cur_counts = current.where("v is not null").groupBy("w", "v").agg(F.count("*").alias("c"))
     tested = stats.where(F.col("n") >= LEAST).select("w", F.col("n").alias("nw"))
-    spread = tested.crossJoin(ref_counts).select("w", "v", F.lit(0).cast("long").alias("c"), "r")  # windows by reference values
-    axis = cur_counts.join(tested.select("w"), "w", "left_semi").select("w", "v", "c", F.lit(0).cast("long").alias("r")).union(spread).groupBy("w", "v").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    run = Window.partitionBy("w").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    axis = axis.join(tested, "w").select("w", "v", (F.sum("c").over(run) / F.col("nw")).alias("g"), (F.sum("r").over(run) / s.n).alias("f"), F.lead("v").over(Window.partitionBy("w").orderBy("v")).alias("next"))
-    gaps = axis.groupBy("w").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("ks"), F.coalesce(F.sum(F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("v"))), F.lit(0.0)).alias("wasserstein"))
+    counts = current.where("v is not null").groupBy("w", "v").agg(F.count("*").alias("c"))
+    gaps = against_reference(counts, tested, placed.groupBy("v").agg(F.count("*").alias("r")), placed, s.n)
     # PSI: the reference's shares are computed once.
     shares = {r.bin: r.n for r in ref.select(edge_bin(F.col("v"), edges).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
@@ -163,9 +192,8 @@ def drift(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any
     psis = cells.groupBy("w").agg(F.greatest(F.sum(psi_terms(F.coalesce("c", F.lit(0)) / F.greatest(F.coalesce("inside", F.lit(1)), F.lit(1)), F.col("r"))), F.lit(0.0)).alias("psi"))
     out = grid.join(stats, "w", "left").join(gaps, "w", "left").join(psis, "w", "left")
     if permutations:
-        sample = with_row_index(ref, "v")
         step = max(-(-s.n // ES_REFERENCE), 1)
-        thin = np.array([r.v for r in sample.where(F.col("i") % step == 0).collect()])  # at most ES_REFERENCE values
+        thin = np.array([r.v for r in placed.where(F.col("i") % step == 0).collect()])  # at most ES_REFERENCE values
 
         def test(part: pd.DataFrame) -> pd.DataFrame:
             es, p = es_test(thin, part["v"].dropna().to_numpy())
@@ -187,6 +215,35 @@ def drift(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any
     )
 
 
+def window_distributions(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any, bins: int = 20, points: int = 200) -> dict[str, DataFrame]:
+    """What each of drift()'s windows looks like: quantiles (w, q, x: nearest rank), histogram (w, bin, n: over the bins of the
+    reference) and ecdf (w, x, y: every step-th value, step = max(n // points, 1)). Windows without values have no rows.
+
+    One sort by window and value places every value in its window; no window is in one task.
+    """
+    size, bins = WINDOWS[window], min(max(bins, 4), 50)
+    rows = df.select(F.col(ts), epoch_ms(F.col(ts)).alias("t"), finite(F.col(column)).alias("v")).where("v is not null")
+    reference = with_row_index(rows.where(F.col(ts).between(at(start), at(end))).select("v"), "v")
+    n = reference.count()
+    if n < LEAST:
+        raise ValueError(f"the reference has {n} values, fewer than {LEAST}")
+    edges, _ = reference_edges(reference, n, bins)
+    last = df.agg(F.max(epoch_ms(F.col(ts)))).head()[0]
+    current = rows.where((F.col(ts) >= at(end)) & (F.col("t") < last)).select(F.floor(F.col("t") / size).cast("long").alias("w"), "v")
+    placed = with_row_index(current, "w", "v")
+    sizes = placed.groupBy("w").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    inside = placed.join(F.broadcast(sizes), "w").select("w", "v", "n", (F.col("i") - F.col("first")).alias("at"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.floor(F.lit(q) * (F.col("n") - 1) + 0.5).alias("at")) for q in QUANTILES]))
+    asked = sizes.select("w", wanted.alias("p")).select("w", "p.q", "p.at")
+    histogram = current.select("w", edge_bin(F.col("v"), edges).alias("bin")).where("bin is not null").groupBy("w", "bin").agg(F.count("*").alias("n"))
+    step = F.greatest(F.floor(F.col("n") / points), F.lit(1))
+    return {
+        "quantiles": inside.join(F.broadcast(asked), ["w", "at"]).select("w", "q", F.col("v").alias("x")),
+        "histogram": histogram,
+        "ecdf": inside.where(F.col("at") % step == 0).select("w", F.col("v").alias("x"), ((F.col("at") + 1) / F.col("n")).alias("y")),
+    }
+
+
 def drift_metadata(windows: DataFrame, reference_rows: int) -> DataFrame:
     """Windows, their mean number of values among those tested, and whether the reference is over 10 times as large."""
     mean = F.avg(F.when(~F.col("low_sample"), F.col("n")))

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import all_of, at, epoch_ms
 from ..plans.limits import is_numeric, is_temporal
@@ -100,7 +101,8 @@ def parse_columns(text: str | None) -> list[str]:
 
 
 def range_predicate(df: DataFrame, f: RangeFilter) -> Column:
-    """Numeric columns compare as doubles; temporal ones take epoch milliseconds, floored at the start and ceiled at the end."""
+    """Numeric columns compare as doubles, whole numbers with the whole numbers within, so that the comparison reaches the
+    file scan; temporal ones take epoch milliseconds, floored at the start and ceiled at the end."""
     if f.column not in df.columns:
         raise ValueError(f"unknown column {f.column!r}")
     kind, (low, high) = df.schema[f.column].dataType, sorted((f.start, f.end))
@@ -108,6 +110,8 @@ def range_predicate(df: DataFrame, f: RangeFilter) -> Column:
         return F.col(f.column).between(at(math.floor(low)), at(math.ceil(high)))
     if not is_numeric(kind):
         raise ValueError(f"column {f.column!r} is neither numeric nor temporal")
+    if isinstance(kind, T.IntegralType) and max(abs(low), abs(high)) < 2**53:
+        return F.col(f.column).between(math.ceil(low), math.floor(high))
     return F.col(f.column).cast("double").between(low, high)
 
 

@@ -61,12 +61,16 @@ def chunked(df: DataFrame, index: str, half: int, size: int = 1 << 20) -> DataFr
     return df.withColumn("chunk", F.explode(F.sequence(first, last))).withColumn("home", F.col("chunk") == home)
 
 
-def rows_around(half_before: int, half_after: int, index: str = "i"):
-    return Window.partitionBy("chunk").orderBy(index).rowsBetween(-half_before, half_after)
+def rows_around(half_before: int, half_after: int, index: str = "i", by: list[str] | None = None):
+    return Window.partitionBy("chunk", *(by or [])).orderBy(index).rowsBetween(-half_before, half_after)
 
 
 def stride(df: DataFrame, limit: int, *order: Column | str, index: str = "i") -> DataFrame:
     """Every step-th row, step = max(rows // limit, 1), and `limit` of them at most; the index stays."""
-    placed = with_row_index(df, *order, name=index)
+    return strided(with_row_index(df, *order, name=index), limit, index)
+
+
+def strided(placed: DataFrame, limit: int, index: str = "i") -> DataFrame:
+    """stride() of rows that have their index already."""
     step = max(placed.count() // limit, 1)
     return placed.where((F.col(index) % step == 0) & (F.col(index) / step < limit))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_ms, from_ms, zero_filled
-from .ordered import sample_rate
-from .rowindex import stride, with_row_index
+from .ordered import rate_of, sample_rate
+from .rowindex import strided, with_row_index
 
 #: Most points of a spectrum, a spectrogram and a filter; the default window of a spectrogram.
 FFT_POINTS, STFT_POINTS, FILTER_POINTS, STFT_WINDOW = 8192, 32_768, 16_384, 256
@@ -33,15 +33,23 @@ def _resampled_rate(hz: float, rows: int, limit: int) -> float:
     return hz / max(rows // limit, 1)
 
 
+def _thinned(rows: DataFrame, ts: str, limit: int, *order: str) -> tuple[DataFrame, float, int]:
+    """Every step-th row with its index, the sample rate of what is left, and the number of all rows: one sort for all of it."""
+    order = order or (ts,)
+    placed = with_row_index(rows, *order)
+    n = placed.count()
+    known = placed.where(F.col(ts).isNotNull())  # nulls come first, so they leave no gap
+    rate = rate_of(known, ts) if order[0] == ts else sample_rate(rows, ts)
+    return strided(placed, limit), _resampled_rate(rate.head()[0], n, limit), n
+
+
 def spectrum(df: DataFrame, ts: str, columns: list[str], max_points: int = FFT_POINTS, *order: str) -> DataFrame:
     """series, bin, frequency, magnitude, power for each column; fewer than 4 rows give none."""
     max_points = max(max_points, 64)
     rows = df.select(*dict.fromkeys([ts, *order, *columns]))
-    hz = sample_rate(rows, ts).head()[0]
-    thin = stride(rows, max_points, *(order or (ts,)))
+    thin, hz, _ = _thinned(rows, ts, max_points, *order)
     pairs = F.array(*[F.struct(F.lit(c).alias("series"), zero_filled(F.col(c)).alias("x")) for c in columns])
     long = thin.select("i", F.explode(pairs).alias("p")).select("i", "p.series", "p.x")
-    hz = _resampled_rate(hz, rows.count(), max_points)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = part.sort_values("i")["x"].to_numpy()
@@ -66,9 +74,9 @@ def spectrogram(df: DataFrame, ts: str, column: str, window: int = STFT_WINDOW,
     hop = min(max(hop or window // 2, 1), window)
     max_points = max(max_points, 256)
     rows = df.select(*dict.fromkeys([ts, *order, column]))
-    hz = _resampled_rate(sample_rate(rows, ts).head()[0], rows.count(), max_points)
-    placed = with_row_index(stride(rows, max_points, *(order or (ts,))).withColumnRenamed("i", "__i"), "__i")
-    n = placed.count()
+    thin, hz, every = _thinned(rows, ts, max_points, *order)
+    n = min(-(-every // max(every // max_points, 1)), max_points)
+    placed = thin.withColumn("i", F.floor(F.col("i") / max(every // max_points, 1)))
     if n < window:
         raise ValueError(f"{n} rows are fewer than a window of {window}")
     last = (n - window) // hop
@@ -97,11 +105,10 @@ def spectral_filter(df: DataFrame, ts: str, column: str, kind: str, low_hz: floa
     """ts, original, filtered; lowpass, highpass, bandpass or bandstop with inclusive band ends."""
     max_points = min(max(max_points, 64), 65_536)
     rows = df.select(*dict.fromkeys([ts, *order, column]))
-    n = rows.count()
+    thin, hz, n = _thinned(rows, ts, max_points, *order)
     if n < 4:
         raise ValueError("a filter needs 4 rows")
-    hz = _resampled_rate(sample_rate(rows, ts).head()[0], n, max_points)
-    thin = stride(rows, max_points, *(order or (ts,))).select("i", epoch_ms(F.col(ts)).alias("t"), zero_filled(F.col(column)).alias("original"))
+    thin = thin.select("i", epoch_ms(F.col(ts)).alias("t"), zero_filled(F.col(column)).alias("original"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")

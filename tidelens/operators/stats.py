@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_ms, finite
 from ..plans.limits import is_numeric, is_temporal
-from .rowindex import with_row_index
+from .rowindex import with_row_index, with_running_sums
 
 #: Bins of a histogram unless asked otherwise and their bounds; quantiles of a distribution; points of an ECDF and a KDE.
 BINS, BIN_BOUNDS, QUANTILES, ECDF_POINTS, KDE_POINTS = 24, (2, 1000), (0.05, 0.25, 0.5, 0.75, 0.95), 200, 64
+#: Relative accuracy of the first look that brackets exact quantiles, and values that the driver holds for them at most.
+LOOK, HELD = 10_000, 200_000
 #: A denominator below this counts as zero.
 EPSILON = 2.220446049250313e-16
 
@@ -33,6 +38,76 @@ def numeric_columns(df: DataFrame, ts: str | None = None) -> list[str]:
     return sorted(f.name for f in df.schema.fields if is_numeric(f.dataType) or f.name == ts)
 
 
+# --- exact positions ----------------------------------------------------------------------------
+
+
+def order_statistics(long: DataFrame, points: list[float], ranks: Callable[[float, int], list[int]], extra: list[Column] | None = None) -> dict[str, tuple[Row, dict[int, float]]]:
+    """Of each series (rows series, x) a row of n and `extra` aggregates, and the values at given places of its sorted x.
+
+    ranks: the places, from 0, near p * n for each point p. No value goes to one task: a first look brackets each place
+    within 2 / LOOK, then rows in a bracket are counted by value and the others by where they lie, and only what lies in
+    brackets reaches the driver. Where that is more than HELD, running sums of the values' counts take its place.
+    """
+    bounds = [b for p in points for b in (max(0.0, p - 2 / LOOK), min(1.0, p + 2 / LOOK))]
+    looks = [F.count("x").alias("n"), F.min("x").alias("lo__"), F.max("x").alias("hi__"), F.percentile_approx("x", bounds, LOOK).alias("b__")]
+    first = {r["series"]: r for r in long.groupBy("series").agg(*looks, *(extra or [])).collect()}
+    there = [r for r in first.values() if r["n"]]
+    wanted = {r["series"]: sorted({k for p in points for k in ranks(p, r["n"])}) for r in there}
+    out = {name: (r, {}) for name, r in first.items()}
+    brackets: dict[str, list[tuple[float, float]]] = {}
+    for r in there:
+        if r["n"] * len(there) <= HELD:
+            brackets[r["series"]] = [(r["lo__"], r["hi__"])]
+        elif 4 * r["n"] * len(points) * len(there) <= LOOK * HELD:
+            own: list[tuple[float, float]] = []
+            for a, b in sorted(zip(r["b__"][::2], r["b__"][1::2], strict=True)):
+                own = [*own[:-1], (own[-1][0], max(b, own[-1][1]))] if own and a <= own[-1][1] else [*own, (a, b)]
+            brackets[r["series"]] = own
+    if brackets:
+        x, slot, key = F.col("x"), F.lit(None).cast("int"), F.lit(None).cast("double")
+        for name, own in brackets.items():
+            mine = F.col("series") == name
+            slot = F.when(mine, sum(((x > b).cast("int") for _, b in own), F.lit(0))).otherwise(slot)
+            key = F.when(mine & reduce(lambda u, v: u | v, (x.between(a, b) for a, b in own)), x).otherwise(key)
+        rows = long.where(x.isNotNull() & F.col("series").isin(*brackets)).groupBy("series", slot.alias("slot"), key.alias("key")).count()
+        table = rows.toPandas().sort_values(["series", "slot", "key"], na_position="first")
+        for name, part in table.groupby("series"):
+            upto = part["count"].cumsum().to_numpy()
+            at = part["key"].to_numpy()[np.searchsorted(upto, wanted[name], side="right")]
+            if not np.isnan(at).any():
+                out[name] = (first[name], dict(zip(wanted[name], at.tolist(), strict=True)))
+    for name, places in wanted.items():
+        if not out[name][1]:
+            counts = long.where((F.col("series") == name) & F.col("x").isNotNull()).groupBy("x").agg(F.count("*").alias("c"))
+            sums = with_running_sums(counts, "x", {"upto": "c"})
+            row = sums.agg(*[F.min(F.when(F.col("upto") > k, F.col("x"))) for k in places]).head()
+            out[name] = (first[name], dict(zip(places, row, strict=True)))
+    return out
+
+
+def _around(p: float, n: int) -> list[int]:
+    return [int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1)]
+
+
+def quantiles(long: DataFrame, points: list[float], extra: list[Column] | None = None) -> dict[str, tuple[Row, list[float | None]]]:
+    """Of each series a row of n and `extra` aggregates, and its quantiles by linear interpolation; None without values."""
+    out = {}
+    for name, (row, at) in order_statistics(long, points, _around, extra).items():
+        n, found = row["n"], []
+        for p in points if n else []:
+            low, high = _around(p, n)
+            share = (n - 1) * p - low
+            found.append((1 - share) * at[low] + share * at[high])
+        out[name] = (row, found or [None] * len(points))
+    return out
+
+
+def column_quantiles(df: DataFrame, column: Column, points: list[float], extra: list[Column] | None = None) -> tuple[Row | None, list[float | None]]:
+    """quantiles() of one column's finite values."""
+    long = df.select(F.lit("x").alias("series"), finite(column).alias("x"))
+    return quantiles(long, points, extra).get("x", (None, [None] * len(points)))
+
+
 # --- profiles -----------------------------------------------------------------------------------
 
 
@@ -68,32 +143,30 @@ def time_range(df: DataFrame, ts: str) -> DataFrame:
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """series, n, min, max, mean, std (population) and quartiles by linear interpolation, of finite values."""
-    q = lambda p: F.percentile("x", p)
-    return long_form(df, columns).groupBy("series").agg(
-        F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"),
-    )
+    found = quantiles(long_form(df, columns), [0.25, 0.5, 0.75], [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")])
+    rows = [(name, r["n"], r["lo__"], r["hi__"], r["mean"], r["std"], *q) for name, (r, q) in found.items()]
+    return df.sparkSession.createDataFrame(rows, "series string, n long, min double, max double, mean double, std double, q1 double, median double, q3 double")
 
 
 def moments(df: DataFrame, column: str) -> DataFrame:
     """n, mean, std, iqr, skewness and excess kurtosis of the population; the last two null without spread."""
-    x = df.select(as_number(df, column).alias("x"))
     flat = F.stddev_pop("x") > 0
-    return x.agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("iqr"),
-        F.when(flat, F.skewness("x")).alias("skewness"), F.when(flat, F.kurtosis("x")).alias("kurtosis"),
-    )
+    extra = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.when(flat, F.skewness("x")).alias("skewness"), F.when(flat, F.kurtosis("x")).alias("kurtosis")]
+    found = quantiles(long_form(df, [column]), [0.25, 0.75], extra)
+    rows = [(r["n"], r["mean"], r["std"], None if q[0] is None else q[1] - q[0], r["skewness"], r["kurtosis"]) for r, q in found.values()]
+    return df.sparkSession.createDataFrame(rows or [(0, *[None] * 5)], "n long, mean double, std double, iqr double, skewness double, kurtosis double")
 
 
 def box_stats(df: DataFrame, column: str, floor_index: bool = False) -> DataFrame:
     """least, q1, median, q3, greatest: by linear interpolation, or the values at floor(n * p)."""
-    x = df.select(as_number(df, column).alias("x")).where("x is not null")
-    if not floor_index:
-        return x.agg(F.min("x").alias("low"), *[F.percentile("x", p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.max("x").alias("high"))
-    placed = with_row_index(x, "x")
-    n = F.lit(placed.count())
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(n * p), F.col("x")))
-    return placed.agg(F.min("x").alias("low"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("x").alias("high"))
+    long, points = long_form(df, [column]), [0.25, 0.5, 0.75]
+    if floor_index:
+        places = lambda p, n: [int(n * p)]
+        found = {name: (r, [at.get(int(r["n"] * p)) for p in points]) for name, (r, at) in order_statistics(long, points, places).items()}
+    else:
+        found = quantiles(long, points)
+    rows = [(r["lo__"], *q, r["hi__"]) for r, q in found.values()]
+    return df.sparkSession.createDataFrame(rows or [(None,) * 5], "low double, q1 double, median double, q3 double, high double")
 
 
 # --- histograms ---------------------------------------------------------------------------------
@@ -135,11 +208,10 @@ def histogram_edges(df: DataFrame, column: str, edges: list[float]) -> DataFrame
 
 def nearest_rank_quantiles(df: DataFrame, column: str, points: tuple[float, ...] = QUANTILES) -> DataFrame:
     """q, x: the value at round(q * (n - 1)), halves away from zero."""
-    placed = with_row_index(df.select(finite(F.col(column)).alias("x")).where("x is not null"), "x")
-    n = placed.count()
-    wanted = [(q, int(q * (n - 1) + 0.5)) for q in points] if n else []
-    asked = df.sparkSession.createDataFrame(wanted, "q double, i long")
-    return F.broadcast(asked).join(placed, "i").select("q", "x")
+    place = lambda q, n: [int(q * (n - 1) + 0.5)]
+    found = order_statistics(df.select(F.lit("x").alias("series"), finite(F.col(column)).alias("x")), list(points), place)
+    rows = [(q, at[place(q, r["n"])[0]]) for r, at in found.values() if r["n"] for q in points]
+    return df.sparkSession.createDataFrame(rows, "q double, x double")
 
 
 def ecdf(df: DataFrame, column: str, points: int = ECDF_POINTS) -> DataFrame:
@@ -158,20 +230,26 @@ def expand_histogram(counts: DataFrame, most: int = 320) -> DataFrame:
     return counts.select(F.explode(F.array_repeat((F.col("low") + F.col("high")) / 2, times)).alias("x"))
 
 
-def kde(df: DataFrame, column: str, points: int = KDE_POINTS) -> DataFrame:
+def kde(df: DataFrame, column: str, points: int = KDE_POINTS, plain: bool = False) -> DataFrame:
     """Gaussian density on an inclusive grid; bandwidth 0.9 * min(std, IQR / 1.34) * n ** -0.2, at least 0.001.
 
+    plain: on the middles of equal intervals, with bandwidth 1.06 * std * n ** -0.2.
+
     The grid is part of each row's own partial sums: one aggregate per grid point, no join.
     """
     x = df.select(finite(F.col(column)).alias("x")).where("x is not null")
-    s = x.agg(F.count("x").alias("n"), F.stddev_pop("x").alias("sd"), F.percentile("x", 0.25).alias("a"), F.percentile("x", 0.75).alias("b"), F.min("x").alias("lo"), F.max("x").alias("hi")).head()
-    if not s.n:
+    row, (a, b) = column_quantiles(df, F.col(column), [0.25, 0.75], [F.stddev_pop("x").alias("sd")])
+    if row is None or not row["n"]:
         return df.sparkSession.createDataFrame([], "k int, x double, density double")
-    spread = min(v for v in (s.sd, (s.b - s.a) / 1.34) if v is not None)
-    h = max(0.9 * spread * s.n**-0.2, 1e-3)
-    grid = [s.lo + (s.hi - s.lo) * k / (points - 1) for k in range(points)]
+    n, lo, hi = row["n"], row["lo__"], row["hi__"]
+    if plain:
+        h = max(1.06 * row["sd"] * n**-0.2, 1e-3)
+        grid = [lo + (hi - lo) * (k + 0.5) / points for k in range(points)]
+    else:
+        h = max(0.9 * min(row["sd"], (b - a) / 1.34) * n**-0.2, 1e-3)
+        grid = [lo + (hi - lo) * k / (points - 1) for k in range(points)]
     sums = x.agg(*[F.sum(F.exp(-0.5 * F.pow((F.col("x") - g) / h, F.lit(2.0)))).alias(f"k{k}") for k, g in enumerate(grid)])
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(g).alias("x"), (F.col(f"k{k}") / (s.n * h * 2.5066282746310002)).alias("density")) for k, g in enumerate(grid)])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(g).alias("x"), (F.col(f"k{k}") / (n * h * 2.5066282746310002)).alias("density")) for k, g in enumerate(grid)])
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -243,32 +321,70 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(pearson_of(as_number(df, x), as_number(df, y)).alias("pearson"))
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the mean rank (from 1) among equal values: an index over the sorted values, averaged per value."""
-    placed = with_row_index(df, F.col(column))
-    mean = placed.groupBy(column).agg((F.avg("i") + 1).alias(name))
-    return placed.drop("i").join(mean.withColumnRenamed(column, "__v"), F.col(column) == F.col("__v")).drop("__v")
+def average_ranks(long: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """For each series of long (series, x) a table v, r: its different values and their mean ranks, from 1.
+
+    Ranks come from the values' counts, so no row is sorted; up to HELD values are added up on the driver and broadcast, more
+    by running sums over partitions.
+    """
+    counts = long.where("x is not null").groupBy("series", "x").agg(F.count("*").alias("c"))
+    spark, some = long.sparkSession, counts.limit(HELD + 1).toPandas()
+    if len(some) <= HELD:
+        out = {}
+        for name in columns:
+            part = some[some["series"] == name].sort_values("x")
+            made = pd.DataFrame({"v": part["x"].to_numpy(float), "r": (part["c"].cumsum() - (part["c"] - 1) / 2).to_numpy(float)})
+            out[name] = F.broadcast(spark.createDataFrame(made, "v double, r double"))
+        return out
+    sums = {c: with_running_sums(counts.where(F.col("series") == c).select("x", "c"), "x", {"upto": "c"}) for c in columns}
+    return {c: t.select(F.col("x").alias("v"), (F.col("upto") - (F.col("c") - 1) / 2).alias("r")) for c, t in sums.items()}
+
+
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The ranks of columns (finite doubles without gaps) in place of their values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("x")) for c in columns])
+    tables = average_ranks(df.select(F.explode(pairs).alias("p")).select("p.*"), columns)
+    for i, c in enumerate(columns):
+        df = df.join(tables[c].toDF(f"__v{i}", f"__r{i}"), F.col(c) == F.col(f"__v{i}"))
+    return df.select(*[F.col(f"__r{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's r of average ranks over the pairs in which both are there."""
     pairs = df.select(as_number(df, x).alias("x"), as_number(df, y).alias("y")).where("x is not null and y is not null")
-    ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-    return ranked.agg(pearson_of(F.col("rx"), F.col("ry")).alias("spearman"))
+    return ranked(pairs, ["x", "y"]).agg(pearson_of(F.col("x"), F.col("y")).alias("spearman"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """col_i, col_j, pearson, spearman for all ordered pairs; the diagonal is 1.
+def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[float | None, float | None]]:
+    """Pearson's and Spearman's r of pairs of columns.
 
-    All Pearson values come from one aggregate; Spearman's are pairwise, since gaps differ between pairs.
+    All Pearson values come from one aggregate. Columns without gaps are ranked once, together, and one more aggregate has
+    their Spearman values; a pair with gaps is ranked by itself, since its rows are its own.
     """
+    if not pairs:
+        return []
+    columns = sorted({c for pair in pairs for c in pair})
+    rows = df.select(*[as_number(df, c).alias(c) for c in columns])
+    one = rows.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)], *[pearson_of(F.col(a), F.col(b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).head()
+    whole = {c for i, c in enumerate(columns) if one[f"n{i}"] == one["rows"]}
+    apart = [k for k, (a, b) in enumerate(pairs) if not {a, b} <= whole]
+    together = [k for k in range(len(pairs)) if k not in set(apart)]
+    found: dict[int, float | None] = {k: spearman(df, *pairs[k]).head()[0] for k in apart}
+    if together:
+        used = sorted({c for k in together for c in pairs[k]})
+        ranks = ranked(rows.select(*used), used)
+        row = ranks.agg(*[pearson_of(F.col(pairs[k][0]), F.col(pairs[k][1])) for k in together]).head()
+        found |= dict(zip(together, row, strict=True))
+    return [(one[f"p{k}"], found[k]) for k in range(len(pairs))]
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """col_i, col_j, pearson, spearman for all ordered pairs; the diagonal is 1."""
     columns = sorted(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[pearson_of(as_number(df, a), as_number(df, b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).head() if pairs else ()
     rows = [(c, c, 1.0, 1.0) for c in columns]
-    for k, (a, b) in enumerate(pairs):
-        s = spearman(df, a, b).head()[0]
-        rows += [(a, b, one[k], s), (b, a, one[k], s)]
+    for (a, b), found in zip(pairs, correlations(df, pairs), strict=True):
+        rows += [(a, b, *found), (b, a, *found)]
     return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, pearson double, spearman double")
 
 
@@ -279,12 +395,10 @@ def correlation_suggestions(df: DataFrame, columns: list[str], base: str | None
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], schema)
     base, threshold = base or next(c for c in columns if c != ts), min(max(threshold, 0.0), 1.0)
-    rows = []
-    for c in columns:
-        if c != base:
-            p, s = pearson(df, base, c).head()[0], spearman(df, base, c).head()[0]
-            strength = max(abs(p or 0.0), abs(s or 0.0))
-            rows.append((base, c, p, s, strength, p if p is not None else s, strength >= threshold))
+    others, rows = [c for c in columns if c != base], []
+    for c, (p, s) in zip(others, correlations(df, [(base, c) for c in others]), strict=True):
+        strength = max(abs(p or 0.0), abs(s or 0.0))
+        rows.append((base, c, p, s, strength, p if p is not None else s, strength >= threshold))
     return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("strength"), "column")
 
 

@@ -41,8 +41,10 @@ class Explorer:
         ts, key = self.dataset.ts, (self.dataset.revision, "data", str(start), str(end), width, tuple(names))
         self._run("data", columns=names)
         if (held := self.cache.get(key)) is None:
-            held = reduce.minmax_lttb(filters.filter_time_range(self.df, ts, start, end, names), ts, names, 2 * width)
-            self.cache.put(key, held)
+            made = reduce.minmax_lttb(filters.filter_time_range(self.df, ts, start, end, names), ts, names, 2 * width)
+            table = made.toArrow()  # 2 * width rows a column at most
+            held = self.df.sparkSession.createDataFrame(table, made.schema)
+            self.cache.put(key, held, table.nbytes)
         return held
 
     def aggregate(self, start: Any, end: Any, columns: str = "", mode: str = "bucket", buckets: int = 100, how: str = "mean", size_ms: int = reduce.WINDOW_MS, step_ms: int | None = None) -> DataFrame:

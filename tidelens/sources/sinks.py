@@ -25,9 +25,20 @@ def export_scatter(df: DataFrame, ts: str, columns: list[str | None], path: str,
     to_parquet(project(apply_filters(df, ts, **filters), [c for c in columns if c]), path)
 
 
-def to_arrow_stream(df: DataFrame, ts: str | None = None) -> bytes:
+#: Rows that a result for one reader may have; larger ones are written as files.
+MOST_ROWS = 5_000_000
+
+
+def _small(df: DataFrame, most: int) -> pa.Table:
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"more than {most} rows: write them with to_parquet() or to_csv()")
+    return table
+
+
+def to_arrow_stream(df: DataFrame, ts: str | None = None, most: int = MOST_ROWS) -> bytes:
     """An Arrow IPC stream of a reduced (small) result, with its time in milliseconds."""
-    table = df.toArrow()
+    table = _small(df, most)
     if ts:
         table = table.set_column(table.column_names.index(ts), ts, table[ts].cast(pa.timestamp("ms"), safe=False))
     out = pa.BufferOutputStream()
@@ -36,9 +47,9 @@ def to_arrow_stream(df: DataFrame, ts: str | None = None) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def to_json_columns(df: DataFrame, ts: str, columns: list[str], colour: str | None = None) -> str:
+def to_json_columns(df: DataFrame, ts: str, columns: list[str], colour: str | None = None, most: int = MOST_ROWS) -> str:
     """{ts: [ms], values: {column: [...]}, color, color_column} of a reduced (small) result; a missing number is NaN."""
-    table = df.select(epoch_ms(F.col(ts)).alias("__t"), *dict.fromkeys([*columns, *([colour] if colour else [])])).toArrow()
+    table = _small(df.select(epoch_ms(F.col(ts)).alias("__t"), *dict.fromkeys([*columns, *([colour] if colour else [])])), most)
     values = {c: [math.nan if v is None else v for v in table[c].to_pylist()] for c in columns}
     return json.dumps({"ts": table["__t"].to_pylist(), "values": values, "color": table[colour].to_pylist() if colour else None, "color_column": colour})
 
