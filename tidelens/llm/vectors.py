@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from .common import join_uneven, stream, tasks, written
 from .graph import components
 
-#: Search: projections of a table, width of a cell (for unit vectors), tables, buckets visited in each.
-PROJECTIONS, CELL, TABLES, PROBES = 8, 2.5, 6, 48
+#: Search: projections of a table, width of a cell (for unit vectors), tables, buckets visited in each; by size of the index,
+#: each four times the one before, from SMALL vectors on. Wider indexes than the last are not measured.
+SIZES, SMALL = [(8, 2.5, 6, 48), (9, 2.25, 8, 100), (10, 2.0, 12, 200)], 5000
 #: Rows of one part of the index, rows of a bucket beyond which it is split among parts, and how many such buckets may be
 #: broadcast (12 bytes each); more are joined by an exchange.
 PART_ROWS, BUCKET_ROWS, BROADCAST_BUCKETS = 50_000, 20_000, 1_000_000
@@ -101,25 +102,27 @@ class Tables:
 
     def visited(self, u: np.ndarray) -> np.ndarray:
         """Buckets to visit in order of the sum of squared distances to the cells crossed (rows by tables*probes)."""
-        out = []
+        out = np.empty((len(u), len(self.axes), self.probes), np.int64)
         for t in range(len(self.axes)):
             cell, inside = self.cells(u, t)
-            costs = np.stack([np.zeros_like(inside), inside, self.cell - inside]) ** 2
-            for i in range(len(u)):
-                cost = costs[np.where(self.steps == 0, 0, np.where(self.steps < 0, 1, 2)), i, np.arange(inside.shape[1])].sum(axis=1)
-                first = np.argpartition(cost, self.probes - 1)[: self.probes]
-                first = first[np.argsort(cost[first], kind="stable")]
-                out.append(self.keys(cell[i] + self.steps[first], t))
-        return np.stack(out).reshape(len(self.axes), len(u), -1).transpose(1, 0, 2).reshape(len(u), -1)
-
-
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", projections: int = PROJECTIONS, cell: float = CELL, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+            options = np.stack([np.zeros_like(inside), inside**2, (self.cell - inside) ** 2], axis=2).astype(np.float32)
+            for i in range(0, len(u), 32):
+                cost = np.zeros((len(u[i : i + 32]), 1), np.float32)
+                for axis in range(options.shape[1]):  # all sums, in the order of self.steps
+                    cost = (cost[:, :, None] + options[i : i + 32, None, axis]).reshape(len(cost), -1)
+                first = np.argpartition(cost, self.probes - 1, axis=1)[:, : self.probes]
+                first = np.take_along_axis(first, np.argsort(np.take_along_axis(cost, first, axis=1), axis=1, kind="stable"), axis=1)
+                out[i : i + 32, t] = self.keys(cell[i : i + 32, None, :] + self.steps[first], t)
+        return out.reshape(len(u), -1)
+
+
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", size: tuple[int, float, int, int] | None = None) -> DataFrame:
     """For each usable vector whose key is divisible by `every`: query_id, rank, key and score (cosine) of the k nearest found.
 
     A query's own key is no candidate, nor are further rows with that key; of several vectors of a query's key the smallest
     by its bytes is the query. Null keys take no part. Ties go to the smaller key; equal vectors are candidates each with its
     own key. Fewer than k candidates give fewer rows; an empty table, or one without usable vectors, gives none. Vectors may
-    be of any length, other columns are left out.
+    be of any length, other columns are left out. size: the index as SIZES has them; None: by the number of vectors.
     """
     spark = rows.sparkSession
     base = usable(rows.where(F.col(key).isNotNull()), key, vector).distinct()
@@ -130,6 +133,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", v
     if not count:
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     d = len(reps.head().v) // 8
+    projections, cell, tables, probes = size or SIZES[min(max(int(np.log2(count / SMALL) // 2) + (count >= SMALL), 0), len(SIZES) - 1)]
     index = Tables(d, projections, cell, tables, probes)
     parts = max(tasks(spark), -(-count * tables // PART_ROWS))
     names = ["bucket", "v", "ids"]
