@@ -90,9 +90,12 @@ def join_uneven(left: DataFrame, right: DataFrame, on: str, n: str, how: str = "
     Keys with more than a parts-th of all those rows are fewer than parts: they are broadcast, so that no task gets all rows
     of a key; only the other keys' rows are exchanged. how: inner or left. Column n is dropped.
     """
-    total = right.agg(F.sum(n)).head()[0] or 0
-    heavy = F.broadcast(right.where(F.col(n) > max(1000, total // parts)).drop(n))
-    rest = right.where(F.col(n) <= max(1000, total // parts)).drop(n)
+    total, most = (x or 0 for x in right.agg(F.sum(n), F.max(n)).head())
+    limit = max(1000, total // parts)
+    if most <= limit:
+        return left.join(right.drop(n), on, how)
+    heavy = F.broadcast(right.where(F.col(n) > limit).drop(n))
+    rest = right.where(F.col(n) <= limit).drop(n)
     return left.join(heavy, on).unionByName(left.join(heavy.select(on), on, "left_anti").join(rest, on, how))
 
 

@@ -244,8 +244,8 @@ def labelled(docs: DataFrame, key: str, text: str, similarity: float, exact: boo
     signed = written(_classes(docs, text, ["k", "h"], True), "signatures")
     reps = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"))
     spots = reps.select("cls", F.explode("bands").alias("spot"))
-    pivots = spots.groupBy("spot").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(spots.join(pivots, "spot"), "buckets")
+    pivots = spots.groupBy("spot").agg(F.min("cls").alias("pivot"), F.count("*").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    members = written(join_uneven(spots, written(pivots, "pivots"), "spot", "rows"), "buckets")
     texts = _texts(docs, text, members.select("cls"))
     pair = (F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
     tested = written(_verify(members.where("cls <> pivot").select(*pair).distinct(), texts), "tested")
@@ -254,16 +254,17 @@ def labelled(docs: DataFrame, key: str, text: str, similarity: float, exact: boo
         """rows of buckets that hold several components, with each class's component; and all components."""
         labels = components(links).toDF("cls", "root")
         known = rows.drop("root").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = known.groupBy("spot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("spot")
-        return known.join(mixed, "spot", "left_semi"), labels
+        mixed = known.groupBy("spot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+        return join_uneven(known, written(mixed.select("spot", "rows"), "mixed"), "spot", "rows"), labels
 
     similar = F.col("j") >= similarity - 1e-12
     left, labels = still_open(members, tested.where(similar).select("a", "b"))
     # A second pivot for the buckets left: the class most similar to the first one.
     left = written(left.join(tested.withColumnRenamed("j", "near"), (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left").drop("a", "b"), "left")
-    second = left.where("near is not null").groupBy("spot").agg(F.max_by("cls", F.struct("near", "cls")).alias("next"))
+    second = left.where("near is not null").groupBy("spot").agg(F.max_by("cls", F.struct("near", "cls")).alias("next"), F.count("*").alias("rows"))
     left = left.withColumn("far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("near")))
-    left = written(left.drop("pivot", "near").join(second.withColumnRenamed("next", "pivot"), "spot"), "left")
+    second = written(second.withColumnRenamed("next", "pivot"), "second")
+    left = written(join_uneven(left.drop("pivot", "near"), second, "spot", "rows"), "left")
     more = left.where("cls <> pivot").select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     tested = tested.union(written(_verify(more, texts), "tested"))
     left, labels = still_open(left, tested.where(similar).select("a", "b"))
