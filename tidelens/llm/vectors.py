@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_uneven, stream, tasks, written
+from .common import join_uneven, mix, run_starts, spread, stream, tasks, written
 from .graph import components
 
-#: Search: projections of a table, width of a cell (for unit vectors), tables, buckets visited in each; by size of the index,
-#: each four times the one before, from SMALL vectors on. Wider indexes than the last are not measured.
-SIZES, SMALL = [(8, 2.5, 6, 48), (9, 2.25, 8, 100), (10, 2.0, 12, 200)], 5000
-#: Rows of one part of the index, rows of a bucket beyond which it is split among parts, and how many such buckets may be
-#: broadcast (12 bytes each); more are joined by an exchange.
+#: Search: projections of a table, width of a cell (for unit vectors), tables, buckets visited in each.
+SIZE = (8, 2.5, 6, 48)
+#: Rows of one part of the index, rows of a bucket beyond which it is split among parts, and how many such buckets are
+#: broadcast at most (16 bytes each; in larger indexes buckets are split from more rows on).
 PART_ROWS, BUCKET_ROWS, BROADCAST_BUCKETS = 50_000, 20_000, 1_000_000
 #: Near-duplicates: least cosine, vectors of a tile, leading coordinates that bound a tile, tiles whose bounds are broadcast
 #: at most (136 bytes each; with more vectors tiles are larger), tiles a side of what a task compares at a time.
@@ -116,13 +115,13 @@ class Tables:
         return out.reshape(len(u), -1)
 
 
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", size: tuple[int, float, int, int] | None = None) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", size: tuple[int, float, int, int] = SIZE) -> DataFrame:
     """For each usable vector whose key is divisible by `every`: query_id, rank, key and score (cosine) of the k nearest found.
 
     A query's own key is no candidate, nor are further rows with that key; of several vectors of a query's key the smallest
     by its bytes is the query. Null keys take no part. Ties go to the smaller key; equal vectors are candidates each with its
     own key. Fewer than k candidates give fewer rows; an empty table, or one without usable vectors, gives none. Vectors may
-    be of any length, other columns are left out. size: the index as SIZES has them; None: by the number of vectors.
+    be of any length, other columns are left out. size: the index, as SIZE.
     """
     spark = rows.sparkSession
     base = usable(rows.where(F.col(key).isNotNull()), key, vector).distinct()
@@ -133,44 +132,64 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", v
     if not count:
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     d = len(reps.head().v) // 8
-    projections, cell, tables, probes = size or SIZES[min(max(int(np.log2(count / SMALL) // 2) + (count >= SMALL), 0), len(SIZES) - 1)]
+    projections, cell, tables, probes = size
     index = Tables(d, projections, cell, tables, probes)
     parts = max(tasks(spark), -(-count * tables // PART_ROWS))
-    names = ["bucket", "v", "ids"]
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(index.own(unit(matrix(batch.column("v")))).ravel())], names=["bucket"])
+
+    # Buckets of many rows are split among parts; all parts of a bucket are visited.
+    large = max(BUCKET_ROWS, -(-count * tables // BROADCAST_BUCKETS))
+    sizes = reps.select("v").mapInArrow(buckets, "bucket long").groupBy("bucket").count().where(F.col("count") > large)
+    heavy = sizes.select("bucket", F.ceil(F.col("count") / large).cast("long").alias("times")).orderBy("bucket").toArrow()
+    split = spark.sparkContext.broadcast(tuple(np.asarray(heavy.column(c).combine_chunks(), np.int64) for c in ("bucket", "times")))
+
+    def times(bucket: np.ndarray) -> np.ndarray:
+        names, n = split.value
+        if not len(names):
+            return np.ones(len(bucket), np.int64)
+        at = np.minimum(np.searchsorted(names, bucket), len(names) - 1)
+        return np.where(names[at] == bucket, n[at], 1)
+
+    def part_of(bucket: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return ((mix(bucket) + share.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = index.own(unit(matrix(batch.column("v"))))
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("v"))
+            keys, lot = index.own(unit(x)), mix(np.ascontiguousarray(x).view(np.uint64).sum(axis=1, dtype=np.uint64))
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column("v"), batch.column("ids")], names=names)
-
-    held = reps.mapInArrow(own, "bucket long, v binary, ids array<long>")
-    sizes = reps.select("v", "ids").mapInArrow(own, "bucket long, v binary, ids array<long>").groupBy("bucket").count()
-    # Buckets of many rows are split among parts; there are at most rows * tables / BUCKET_ROWS of them.
-    heavy = written(sizes.where(F.col("count") > BUCKET_ROWS).select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("times")), "heavy")
-    split = heavy.count()
-
-    def with_times(x: DataFrame) -> DataFrame:
-        if not split:
-            return x.withColumn("times", F.lit(1))
-        return x.join(F.broadcast(heavy) if split <= BROADCAST_BUCKETS else heavy, "bucket", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-
-    held = with_times(held)
-    held = held.withColumn("part", F.pmod(F.xxhash64("bucket") + F.pmod(F.xxhash64("v"), F.col("times")), F.lit(parts)).cast("int")).drop("times")
-    # The calls to a part: a query once, with all the buckets that it visits there.
+                share = lot % times(keys[:, t]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(keys[:, t], share)), pa.array(keys[:, t]), batch.column("v"), batch.column("ids")], names=["part", "bucket", "v", "ids"])
+
+    held = reps.mapInArrow(own, "part int, bucket long, v binary, ids array<long>")
     queries = usable(rows.where(F.col(key) % every == 0), key, vector).groupBy(F.col(key).alias("query_id")).agg(F.min("v").alias("v"))
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The calls to a part: a query once, with all the buckets that it visits there."""
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 own = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(index.visited(unit(matrix(own.column("v")))).tolist(), pa.list_(pa.int64()))], names=["query_id", "v", "buckets"])
-
-    calls = queries.mapInArrow(visited, "query_id long, v binary, buckets array<long>")
-    calls = calls.select("query_id", "v", F.explode("buckets").alias("bucket"))
-    calls = with_times(calls).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    calls = calls.withColumn("part", F.pmod(F.xxhash64("bucket") + F.col("share"), F.lit(parts)).cast("int"))
-    calls = calls.groupBy("part", "query_id").agg(F.first("v").alias("v"), F.collect_set("bucket").alias("buckets"))
+                out: tuple[list, list, list] = ([], [], [])
+                for i, asked in enumerate(index.visited(unit(matrix(own.column("v"))))):
+                    bucket = np.unique(asked)
+                    n = times(bucket)
+                    part = part_of(np.repeat(bucket, n), spread(np.zeros(len(n), np.int64), n))
+                    bucket = np.repeat(bucket, n)
+                    order = np.lexsort((bucket, part))
+                    cut = run_starts(part[order])
+                    for where, found in zip(part[order][cut].tolist(), np.split(bucket[order], cut[1:]), strict=True):
+                        for column, value in zip(out, (where, i, np.unique(found).tolist()), strict=True):
+                            column.append(value)
+                at = pa.array(out[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), own.column("query_id").take(at), own.column("v").take(at), pa.array(out[2], pa.list_(pa.int64()))], names=["part", "query_id", "v", "buckets"])
+
+    calls = queries.repartition(tasks(spark), "query_id").mapInArrow(visited, "part int, query_id long, v binary, buckets array<long>")
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         bucket = np.asarray(own.column("bucket"))
