@@ -313,3 +313,112 @@ def test_rolling_bands_by_group(spark):
         alone = ordered.rolling_bands(rows.where(F.col("k") == k), "ts", "v", 7, "ts")
         got = sorted(tuple(r)[1:] for r in together.where(F.col("k") == k).collect())
         assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in sorted(map(tuple, alone.collect()))]
+
+
+def test_minmax_lttb_against_plain_loops(spark):
+    """Which rows are kept, by the paper's two steps written out."""
+    draw = np.random.default_rng(6)
+    y = np.cumsum(draw.normal(size=1200)).round(3)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "t long, v double").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    target = 40
+    n, bins, found = len(y), target * reduce.MINMAX_RATIO // 2, {}
+    for i in range(1, n - 1):
+        found.setdefault((i - 1) * bins // (n - 2), []).append(i)
+    few = sorted({0, n - 1, *(min(b, key=lambda i: (y[i], i)) for b in found.values()), *(max(b, key=lambda i: (y[i], -i)) for b in found.values())})
+    edges = [int(1 + k * (len(few) - 2) / (target - 2)) for k in range(target - 1)]
+    kept = [0]
+    for b in range(target - 2):
+        ahead = few[edges[b + 1] : edges[b + 2]] if b + 1 < target - 2 else few[-1:]
+        cx, cy = sum(ahead) / len(ahead), sum(y[i] for i in ahead) / len(ahead)
+        a = kept[-1]
+        kept.append(max(few[edges[b] : edges[b + 1]], key=lambda i: abs((a - cx) * (y[i] - y[a]) - (a - i) * (cy - y[a]))))
+    kept.append(few[-1])
+    got = [r.v for r in reduce.minmax_lttb(rows, "ts", ["v"], target, "ts").collect()]
+    assert got == [float(y[i]) for i in kept]
+    pairs = reduce.downsample_pairs(rows.withColumn("colour", F.col("t") * 2), "v", target, "t").collect()
+    assert sorted((r.v, r.colour) for r in pairs) == sorted((float(y[i]), 2 * i) for i in kept)
+
+
+@pytest.mark.parametrize(("kind", "low", "high"), [("lowpass", None, 0.1), ("highpass", 0.2, None), ("bandpass", 0.1, 0.3), ("bandstop", 0.1, 0.3)])
+def test_spectral_filter_against_sums(spark, kind, low, high):
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=64)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "t long, v double").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    n, mean = len(x), x.mean()
+    k = np.arange(n)
+    f = np.minimum(k, n - k) / n
+    keep = {"lowpass": f <= (high or 0), "highpass": f >= (low or 0), "bandpass": (f >= 0.1) & (f <= 0.3), "bandstop": (f < 0.1) | (f > 0.3)}[kind]
+    wave = np.exp(-2j * np.pi * np.outer(k, k) / n)
+    want = (np.conj(wave) @ (keep * (wave @ (x - mean)))).real / n + mean
+    out = spectral.spectral_filter(rows, "ts", "v", kind, low, high).orderBy("ts").collect()
+    assert [r.filtered for r in out] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_scatter_samples_keep_their_colours(hourly):
+    from tidelens.operators import scatter
+
+    got = scatter.scatter_points(hourly, "ts", "col_c", "col_a", "col_b", sample=50).collect()
+    assert len(got) == 50
+    rows = {(r.col_c, r.col_a): r.col_b for r in hourly.collect()}
+    assert all(rows[r.x, r.y] == r.colour for r in got)
+
+
+def test_database_catalogue(spark):
+    """Tables of both kinds, types, and the time column found by itself; a stand-in answers the statements."""
+
+    class Told(readers.Database):
+        def query(self, spark, text):
+            if "pg_extension" in text:
+                return spark.createDataFrame([(1,)], "one int")
+            if "hypertable" in text:
+                return spark.createDataFrame([("public", "metrics", 7)], "table_schema string, table_name string, row_estimate long")
+            if "information_schema.tables" in text:
+                return spark.createDataFrame([("public", "metrics"), ("public", "users")], "table_schema string, table_name string")
+            if "information_schema.columns" in text:
+                rows = [("id", "integer", "NO", 1), ("at", "timestamp with time zone", "YES", 2), ("load", "numeric", "YES", 3), ("tag", "jsonb", "YES", 4)]
+                return spark.createDataFrame(rows, "column_name string, data_type string, is_nullable string, ordinal_position int")
+            assert 'order by "at"' in text and 'from "public"."metrics"' in text
+            return spark.createDataFrame([("2024-01-01 00:00:00", "1.5", 3), ("no time", "x", 4)], "at string, load string, id int")
+
+    db = Told("jdbc:postgresql://host/db")
+    assert {(r.table_name, r.kind, r.row_estimate) for r in db.tables(spark).collect()} == {("metrics", "hypertable", 7), ("users", "table", None)}
+    assert [r["dtype"] for r in db.columns(spark, "public", "metrics").orderBy("ordinal_position").collect()] == ["int", "timestamp", "double", "string"]
+    data = readers.load_table(spark, db, "public", "metrics")
+    assert data.ts == "at" and [(r.load, r.id) for r in data.df.orderBy("id").collect()] == [(1.5, 3), (None, 4)]
+    with pytest.raises(ValueError, match="none of the columns"):
+        readers.load_table(spark, db, "public", "metrics", ["nope"])
+
+
+def test_samples_rates_and_errors():
+    from tidelens.plans import limits
+
+    assert readers.sample_path("ETTm2.csv", "/data/") == "/data/ETTm2.csv"
+    with pytest.raises(ValueError, match="no sample"):
+        readers.sample_path("../etc/passwd", "/data")
+    now = [0.0]
+    limiter = limits.RateLimiter(2, 60, clock=lambda: now[0])
+    assert [limiter.check("a") for _ in range(3)] == [(True, 1, None), (True, 0, None), (False, 0, 60)]
+    assert limiter.check("b")[0]
+    now[0] = 61
+    assert limiter.check("a") == (True, 1, None)
+    counters = limits.Counters()
+    for name in ("hit", "hit", "miss"):
+        counters.add(name)
+    assert counters.ratio("hit", "miss") == pytest.approx(2 / 3) and counters.ratio("x", "y") == 0
+    assert [limits.status_of(e) for e in (ValueError(), FileNotFoundError(), RuntimeError())] == [400, 404, 500]
+
+
+def test_causal_exports(spark):
+    import json
+
+    links = spark.createDataFrame([("a", "b", 1, 0.5, 0.01, "-->"), ("a", "b", 2, 0.3, 0.02, "-->"), ("b", "c", 0, 0.2, 0.03, "o-o")], discovery.EDGES)
+    out = json.loads(discovery.links_json(links, ["a", "b", "c"], 2, "pcmci"))
+    assert out["nodes"] == ["a", "b", "c"] and len(out["links"]) == 3 and out["metadata"] == {"tau_max": 2, "method": "pcmci"}
+    graph = discovery.graph_arrays(links, ["a", "b", "c"])
+    assert graph["edge_index"] == [[0, 1], [1, 2]] and graph["edge_attr"][0] == [2, 1, 2, pytest.approx(0.4), 0.01]
+
+
+def test_drift_metadata(hourly):
+    windows = drift.drift(hourly, "ts", "col_c", "daily", "2024-01-01", "2024-01-03", permutations=False)
+    row = drift.drift_metadata(windows, 49).head()
+    assert row.windows == windows.count() and row.effective_bins == 20 and not row.bin_warning and row.mean_n == pytest.approx(24, abs=1)

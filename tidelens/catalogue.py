@@ -197,6 +197,19 @@ def ohlc_40(spark, d):
     return reduce.ohlc(events(spark, d), "ts", "value", 40).select(F.col("bucket").cast("long").alias("bucket"), "open", "high", "low", "close")
 
 
+def _sampled(mode: str, sql: str) -> None:
+    def run(spark, d):
+        return rounded(reduce.sampled(events(spark, d), "ts", "value", 40, mode).select(F.col("bucket").cast("long").alias("bucket"), "value"))
+
+    run.__name__ = f"sample_{mode}"
+    query(f"""WITH r AS (SELECT min(epoch_ms(ts)) AS lo, max(epoch_ms(ts)) AS hi FROM events),
+    b AS (SELECT least(floor((epoch_ms(ts) - lo) / (greatest(hi - lo, 1) / 40.0::DOUBLE)), 39)::BIGINT AS bucket, value FROM events, r) SELECT bucket, round({sql}(value), 6) AS value FROM b GROUP BY bucket""")(run)
+
+
+for _mode, _agg in (("average", "avg"), ("max", "max"), ("min", "min")):
+    _sampled(_mode, _agg)
+
+
 @query("""WITH n AS (SELECT greatest(count(*) // 700, 1) AS step FROM events), i AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, event_id, value FROM events)
     SELECT event_id, value FROM i, n WHERE i % step = 0 AND i // step < 700""")
 def stride_downsample(spark, d):
@@ -295,6 +308,16 @@ def density_20x20(spark, d):
     return stats.density_grid(lineitem(spark, d), "l_quantity", "l_extendedprice")
 
 
+@query("""SELECT least(floor((user_id - 10) / 490.0::DOUBLE * 300 / 8), 37)::INT AS bx, least(floor((value - 2.0) / 38.0::DOUBLE * 200 / 8), 24)::INT AS by, count(*) AS n FROM events WHERE user_id BETWEEN 10 AND 500 AND value BETWEEN 2 AND 40 GROUP BY 1, 2""")
+def pixel_grid(spark, d):
+    return stats.pixel_grid(events(spark, d), "user_id", "value", (10, 500, 2.0, 40.0), 300, 200)
+
+
+@query("SELECT event_type AS label, (row_number() OVER (ORDER BY t, i) - 1)::INT AS place FROM (SELECT event_type, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS i FROM events GROUP BY event_type)")
+def label_order(spark, d):
+    return stats.label_order(events(spark, d), "event_type", "ts", "event_id")
+
+
 @query("""WITH l AS (SELECT coalesce(nullif(trim(CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END), ''), 'Missing') AS label, value AS x FROM events), r AS (SELECT min(x) AS lo, max(x) AS hi FROM l)
     SELECT label, least(floor((x - lo) / (hi - lo) * 24), 23)::INT AS bin, count(*) AS n FROM l, r GROUP BY 1, 2""")
 def grouped_hist(spark, d):

@@ -211,7 +211,7 @@ def drift(df: DataFrame, ts: str, column: str, window: str, start: Any, end: Any
         F.coalesce("nulls", F.lit(0)).cast("long").alias("nulls"), F.when(n + F.coalesce("nulls", F.lit(0)) > 0, n / F.greatest(n + F.coalesce("nulls", F.lit(0)), F.lit(1))).otherwise(1.0).alias("completeness"),
         "mean", "std", "min", "max", F.coalesce("ks", F.lit(0.0)).alias("ks"), F.coalesce(ks_p, F.lit(1.0)).alias("ks_p"), w_.alias("wasserstein"), p_.alias("psi"),
         F.coalesce("es", F.lit(0.0)).alias("es"), F.coalesce("es_p", F.lit(1.0)).alias("es_p"), F.when(ok, level(w_, p_, threshold)).otherwise("green").alias("level"),
-        F.lit(threshold).alias("threshold"), F.lit(fallback).alias("equal_width"), (n < LEAST).alias("low_sample"),
+        F.lit(threshold).alias("threshold"), F.lit(fallback).alias("equal_width"), F.lit(len(edges) - 1).alias("bins"), (n < LEAST).alias("low_sample"),
     )
 
 
@@ -245,9 +245,10 @@ def window_distributions(df: DataFrame, ts: str, column: str, window: str, start
 
 
 def drift_metadata(windows: DataFrame, reference_rows: int) -> DataFrame:
-    """Windows, their mean number of values among those tested, and whether the reference is over 10 times as large."""
+    """Windows, their mean number of values among those tested, whether the reference is over 10 times as large, and how many
+    bins there are in effect."""
     mean = F.avg(F.when(~F.col("low_sample"), F.col("n")))
-    return windows.agg(F.count("*").alias("windows"), mean.alias("mean_n"), F.coalesce(F.lit(reference_rows) / F.when(mean > 0, mean) > 10, F.lit(False)).alias("unbalanced"), F.sum(F.col("low_sample").cast("long")).alias("low_sample"))
+    return windows.agg(F.count("*").alias("windows"), mean.alias("mean_n"), F.coalesce(F.lit(reference_rows) / F.when(mean > 0, mean) > 10, F.lit(False)).alias("unbalanced"), F.sum(F.col("low_sample").cast("long")).alias("low_sample"), F.max("bins").alias("effective_bins"), F.coalesce(F.max("equal_width"), F.lit(False)).alias("bin_warning"))
 
 
 def order_windows(windows: DataFrame, by: str = "time") -> DataFrame:

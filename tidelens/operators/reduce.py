@@ -71,12 +71,15 @@ def aggregate_by_time(df: DataFrame, ts: str, column: str, how: str = "mean") ->
     return df.groupBy(ts).agg(aggregate(how, F.col(column)).alias(column))
 
 
-def ohlc(df: DataFrame, ts: str, column: str, buckets: int) -> DataFrame:
-    """First, highest, lowest and last value of each equal-width bucket."""
+def _bucket_of(df: DataFrame, ts: str, buckets: int) -> Column:
     low, high = _span(df, ts) or (0, 0)
     width = max(high - low, 1) / buckets
-    number = F.least(F.floor((epoch_ms(F.col(ts)) - low) / F.lit(width)), F.lit(buckets - 1))
-    return df.groupBy(number.alias("bucket")).agg(
+    return F.least(F.floor((epoch_ms(F.col(ts)) - low) / F.lit(width)), F.lit(buckets - 1))
+
+
+def ohlc(df: DataFrame, ts: str, column: str, buckets: int) -> DataFrame:
+    """First, highest, lowest and last value of each equal-width bucket."""
+    return df.groupBy(_bucket_of(df, ts, buckets).alias("bucket")).agg(
         F.min_by(column, ts).alias("open"), F.max(column).alias("high"), F.min(column).alias("low"), F.max_by(column, ts).alias("close")
     )
 
@@ -107,17 +110,12 @@ def largest_triangles(index: np.ndarray, y: np.ndarray, target: int) -> np.ndarr
     return np.array([*kept, n - 1])
 
 
-def minmax_lttb(df: DataFrame, ts: str, columns: list[str], target: int, *order: str) -> DataFrame:
-    """At most `target` rows that keep the first column's shape (Van Der Donckt et al. 2023), in time order.
+def shape_rows(placed: DataFrame, y: Column, n: int, target: int) -> DataFrame:
+    """i of at most `target` of n rows (indexed by i from 0) that keep the shape of y (Van Der Donckt et al. 2023).
 
     Bins of equally many rows first leave their lowest and highest; on those few rows one task chooses the largest
-    triangles. Places count, not times; a null value stands as 0. Few rows, or a target below 3, pass unchanged.
+    triangles. Places count, not times.
     """
-    placed = with_row_index(df.select(*dict.fromkeys([ts, *columns, *[o for o in order if o in df.columns]])), *(order or (ts,)))
-    n = placed.count()
-    if n <= target or target < 3:
-        return placed.select(ts, *columns)
-    y = F.coalesce(F.col(columns[0]).cast("double"), F.lit(0.0))
     bins = max(1, target * MINMAX_RATIO // 2)
     inner = placed.where((F.col("i") > 0) & (F.col("i") < n - 1))
     extremes = inner.groupBy(F.floor((F.col("i") - 1) * bins / (n - 2)).alias("bin")).agg(F.array(F.min_by("i", F.struct(y, "i")), F.max_by("i", F.struct(y, -F.col("i")))).alias("at"))
@@ -130,10 +128,40 @@ def minmax_lttb(df: DataFrame, ts: str, columns: list[str], target: int, *order:
         at = largest_triangles(part["i"].to_numpy(float), part["y"].to_numpy(), target)
         return part.iloc[at][["i"]]
 
-    kept = chosen.groupBy(F.lit("all")).applyInPandas(pick, "i long")
+    return chosen.groupBy(F.lit("all")).applyInPandas(pick, "i long")
+
+
+def minmax_lttb(df: DataFrame, ts: str, columns: list[str], target: int, *order: str) -> DataFrame:
+    """At most `target` rows that keep the first column's shape, in time order.
+
+    A null value stands as 0. Few rows, or a target below 3, pass unchanged.
+    """
+    placed = with_row_index(df.select(*dict.fromkeys([ts, *columns, *[o for o in order if o in df.columns]])), *(order or (ts,)))
+    n = placed.count()
+    if n <= target or target < 3:
+        return placed.select(ts, *columns)
+    kept = shape_rows(placed, F.coalesce(F.col(columns[0]).cast("double"), F.lit(0.0)), n, target)
     return placed.join(kept, "i", "left_semi").orderBy("i").select(ts, *columns)
 
 
+def downsample_pairs(points: DataFrame, y: str, target: int, *order: str) -> DataFrame:
+    """At most `target` rows of points, in the given order, that keep the shape of y; colours and sizes stay with their points."""
+    placed = with_row_index(points, *order)
+    n = placed.count()
+    if n <= target or target < 3:
+        return points
+    kept = shape_rows(placed, F.coalesce(F.col(y).cast("double"), F.lit(0.0)), n, target)
+    return placed.join(kept, "i", "left_semi").drop("i")
+
+
+def sampled(df: DataFrame, ts: str, column: str, buckets: int, mode: str) -> DataFrame:
+    """A chart's sampling modes over equal-width buckets: average, max or min (bucket, value), or ohlc."""
+    if mode == "ohlc":
+        return ohlc(df, ts, column, buckets)
+    how = {"average": F.avg, "max": F.max, "min": F.min}[mode]
+    return df.groupBy(_bucket_of(df, ts, buckets).alias("bucket")).agg(how(finite(F.col(column))).alias("value"))
+
+
 def reduce_series(df: DataFrame, ts: str, columns: list[str], strategy: str = "none", **options) -> DataFrame:
     """The reduction of a name: none, lttb (target), bucket (buckets, how), window (size_ms, step_ms, how)."""
     match strategy:

@@ -263,6 +263,14 @@ def density_grid(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     return pts.groupBy(cell("x", e[0], e[1]).alias("bx"), cell("y", e[2], e[3]).alias("by")).agg(F.count("*").alias("n"))
 
 
+def pixel_grid(df: DataFrame, x: str, y: str, view: tuple[float, float, float, float], width: int, height: int, cell: int = 8) -> DataFrame:
+    """bx, by, n of squares of `cell` pixels in a viewport (x from, x to, y from, y to); points outside it are left out."""
+    x0, x1, y0, y1 = view
+    pts = df.select(as_number(df, x).alias("x"), as_number(df, y).alias("y")).where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    at = lambda c, lo, hi, pixels: F.least(F.floor((F.col(c) - lo) / F.lit((hi - lo) or 1.0) * pixels / cell), F.lit(-(-pixels // cell) - 1)).cast("int")
+    return pts.groupBy(at("x", x0, x1, width).alias("bx"), at("y", y0, y1, height).alias("by")).agg(F.count("*").alias("n"))
+
+
 def shade(counts: DataFrame, mode: str = "linear") -> DataFrame:
     """density_grid's counts with a level from 0 to 1: linear, sqrt or log."""
     most = counts.agg(F.max("n")).head()[0] or 1
@@ -296,6 +304,12 @@ def grouped_histogram(df: DataFrame, column: str, label: str, bins: int = BINS,
     return rows.groupBy("label", number.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def label_order(df: DataFrame, label: str, *order: str) -> DataFrame:
+    """label, place (from 0): labels by the first row that has them."""
+    rows = df.select(clean_label(F.col(label)).alias("label"), F.struct(*order).alias("at")).groupBy("label").agg(F.min("at").alias("at"))
+    return rows.withColumn("place", (F.row_number().over(Window.orderBy("at")) - 1).cast("int")).drop("at")  # a row for each label
+
+
 def colour_analysis(df: DataFrame, column: str, *order: str, sample: int = 1000) -> DataFrame:
     """From the first `sample` values whether a column is numeric, its extent, and how many categories it has."""
     head = df.orderBy(*order).limit(sample).select(F.col(column).cast("string").alias("s")).where("s is not null")

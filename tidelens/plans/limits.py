@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -68,3 +70,43 @@ def numeric_columns(df: DataFrame, names: list[str], limits: Limits = LIMITS) ->
         if not is_numeric(df.schema[n].dataType):
             raise ValueError(f"column {n!r} is not numeric")
     return names
+
+
+class RateLimiter:
+    """At most `most` requests of a client in each window of time, which begins with its first request."""
+
+    def __init__(self, most: int, seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.most, self.seconds, self.clock = most, max(seconds, 1.0), clock
+        self.windows: dict[str, tuple[float, int]] = {}
+
+    def check(self, client: str) -> tuple[bool, int, int | None]:
+        """Whether a request may go on, how many more may follow, and the seconds to wait if not."""
+        now = self.clock()
+        self.windows = {c: w for c, w in self.windows.items() if now - w[0] < self.seconds}
+        began, n = self.windows.get(client, (now, 0))
+        if n >= self.most:
+            return False, 0, max(int(self.seconds - (now - began)), 1)
+        self.windows[client] = (began, n + 1)
+        return True, self.most - n - 1, None
+
+
+class Counters:
+    """Requests, errors, cache hits and milliseconds, by name."""
+
+    def __init__(self) -> None:
+        self.values: dict[str, float] = {}
+
+    def add(self, name: str, amount: float = 1) -> None:
+        self.values[name] = self.values.get(name, 0) + amount
+
+    def ratio(self, part: str, rest: str) -> float:
+        total = self.values.get(part, 0) + self.values.get(rest, 0)
+        return self.values.get(part, 0) / total if total else 0.0
+
+
+#: HTTP status for what an analysis may raise.
+STATUS = {ValueError: 400, KeyError: 400, FileNotFoundError: 404, PermissionError: 403, TimeoutError: 504}
+
+
+def status_of(error: BaseException) -> int:
+    return next((code for kind, code in STATUS.items() if isinstance(error, kind)), 500)

@@ -128,9 +128,25 @@ def load(spark: SparkSession, path: str, options: LoadOptions | None = None) ->
     return Dataset(df, ts)
 
 
+# The sample files that may be served.
+SAMPLES = ("ETTm1.csv", "ETTm2.csv", "ETTm1.parquet", "ETTm2.parquet")
+
 # --- databases ----------------------------------------------------------------------------------
 
 
+# Schemas of the database and its time-series extension that hold no user tables.
+SYSTEM_SCHEMAS = [
+    "pg_catalog", "information_schema", "_timescaledb_catalog", "_timescaledb_internal", "_timescaledb_config", "_timescaledb_cache", "timescaledb_information", "timescaledb_experimental",
+]
+HYPERTABLES = """select h.schema_name as table_schema, h.table_name as table_name, coalesce(c.reltuples::bigint, -1) as row_estimate from _timescaledb_catalog.hypertable h
+    join pg_namespace n on n.nspname = h.schema_name join pg_class c on c.relnamespace = n.oid and c.relname = h.table_name"""
+# Spark's types for the database's; all others are read as strings.
+DB_TYPES = {
+    "smallint": "smallint", "smallserial": "smallint", "integer": "int", "serial": "int", "bigint": "bigint", "bigserial": "bigint", "real": "float", "double precision": "double", "numeric": "double", "decimal": "double",
+    "boolean": "boolean", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamp", "timestamptz": "timestamp", "timestamp": "timestamp", "date": "date",
+}
+
+
 def identifier(name: str) -> str:
     """A quoted identifier; only letters, digits, underscores and dots."""
     if not re.fullmatch(r"[A-Za-z0-9_.]+", name):
@@ -161,11 +177,21 @@ class Database:
         return self.query(spark, "select 1 as one").head()[0] == 1
 
     def tables(self, spark: SparkSession) -> DataFrame:
-        return self.query(spark, "select table_schema, table_name from information_schema.tables where table_type = 'BASE TABLE' and table_schema not in ('pg_catalog', 'information_schema')").distinct()
+        """table_schema, table_name, kind (hypertable or table), row_estimate: partitioned time tables first where there are any."""
+        quoted = ", ".join(f"'{s}'" for s in SYSTEM_SCHEMAS)
+        plain = self.query(spark, f"select table_schema, table_name from information_schema.tables where table_type = 'BASE TABLE' and table_schema not in ({quoted})")
+        plain = plain.select("table_schema", "table_name", F.lit("table").alias("kind"), F.lit(None).cast("long").alias("row_estimate"))
+        if not self.query(spark, "select 1 as one from pg_extension where extname = 'timescaledb'").head():
+            return plain.distinct()
+        hyper = self.query(spark, HYPERTABLES).select("table_schema", "table_name", F.lit("hypertable").alias("kind"), F.col("row_estimate").cast("long"))
+        return hyper.union(plain.join(hyper, ["table_schema", "table_name"], "left_anti")).distinct()
 
     def columns(self, spark: SparkSession, schema: str, name: str) -> DataFrame:
+        """column_name, data_type, nullable, ordinal_position, dtype (the Spark type that it is read as)."""
         identifier(schema), identifier(name)
-        return self.query(spark, f"select column_name, data_type, ordinal_position from information_schema.columns where table_schema = '{schema}' and table_name = '{name}'")
+        found = self.query(spark, f"select column_name, data_type, is_nullable, ordinal_position from information_schema.columns where table_schema = '{schema}' and table_name = '{name}'")
+        dtype = F.element_at(F.create_map(*[F.lit(x) for pair in DB_TYPES.items() for x in pair]), F.col("data_type"))
+        return found.select("column_name", "data_type", (F.col("is_nullable") == "YES").alias("nullable"), "ordinal_position", F.coalesce(dtype, F.lit("string")).alias("dtype"))
 
 
 def table_query(schema: str, name: str, columns: list[str], ts: str, start: Any = None, end: Any = None, limit: int = LIMITS.table_rows) -> str:
@@ -178,5 +204,24 @@ def table_query(schema: str, name: str, columns: list[str], ts: str, start: Any
     return f"select {names} from {identifier(f'{schema}.{name}')}{where} order by {identifier(ts)} limit {int(limit)}"
 
 
-def load_table(spark: SparkSession, db: Database, schema: str, name: str, columns: list[str], ts: str, **bounds: Any) -> Dataset:
-    return Dataset(normalise_time(db.query(spark, table_query(schema, name, columns, ts, **bounds)), ts), ts)
+def load_table(spark: SparkSession, db: Database, schema: str, name: str, columns: list[str] | None = None, ts: str | None = None, **bounds: Any) -> Dataset:
+    """A slice of a table; without columns all of them, without ts the first that is a time."""
+    known = db.columns(spark, schema, name).orderBy("ordinal_position").collect()
+    wanted = [r for r in known if not columns or r.column_name in columns]
+    if not wanted:
+        raise ValueError("none of the columns is in the table")
+    ts = ts or next((r.column_name for r in [*wanted, *known] if r["dtype"] in ("timestamp", "date")), None)
+    if ts is None:
+        raise ValueError("the table has no time column")
+    rows = db.query(spark, table_query(schema, name, [r.column_name for r in wanted], ts, **bounds))
+    # What the source reads as another type than planned becomes null where it does not fit.
+    plan = {r.column_name: r["dtype"] for r in known}
+    fitted = [F.expr(f"try_cast(`{c}` as {plan.get(c, 'string')})").alias(c) for c in rows.columns]
+    return Dataset(normalise_time(rows.select(*fitted), ts), ts)
+
+
+def sample_path(name: str, folder: str) -> str:
+    """The path of a built-in sample file; other names are refused."""
+    if name not in SAMPLES:
+        raise ValueError(f"no sample dataset is called {name!r}")
+    return f"{folder.rstrip('/')}/{name}"
