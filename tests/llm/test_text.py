@@ -123,4 +123,8 @@ def test_substrings(spark, sf, odd, empty, brute_words):
         got = substrings.remove_repeats(table, block_bytes=1 << 16).select("doc_id", "n_words", "n_removed", "text").collect()
         assert Counter(map(tuple, got)) == want
     assert substrings.remove_repeats(empty).count() == 0
+    alone = substrings.remove_repeats(whole.select("text"))
+    assert alone.columns == ["text", "n_words", "n_removed"] and alone.count() == whole.count()
+    long = substrings.remove_repeats(odd.where("doc_id in (6, 7)")).collect()  # one text twice: all of it recurs
+    assert [(r.n_words, r.n_removed, r.text) for r in long] == [(60_000, 60_000, "")] * 2
     assert {"kept", "rank", "n_removed"} <= set(substrings.remove_repeats(odd).columns)

@@ -230,8 +230,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, bloc
                 gone = block.covered(windows[recurs[block.prints(windows, shards)[3]]])
         row = np.repeat(np.arange(len(block.sizes)), block.sizes)
         removed = np.bincount(row[gone], minlength=len(block.sizes)).astype(np.int64)
-        keep = pa.ipc.open_stream(rows.column("rows")[0].as_py()).read_all()
-        columns = dict(zip([c for c in given if c != text], keep.columns, strict=True)) | {text: block.texts(gone)}
+        keep = pa.ipc.open_stream(rows.column("rows")[0].as_py()).read_all().columns if len(given) > 1 else []
+        columns = dict(zip([c for c in given if c != text], keep, strict=True)) | {text: block.texts(gone)}
         return pa.table([*[columns[c] for c in given], pa.array(block.sizes - 1), pa.array(removed)], names=[*given, *names])
 
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(drop, schema)
