@@ -422,3 +422,21 @@ def test_drift_metadata(hourly):
     windows = drift.drift(hourly, "ts", "col_c", "daily", "2024-01-01", "2024-01-03", permutations=False)
     row = drift.drift_metadata(windows, 49).head()
     assert row.windows == windows.count() and row.effective_bins == 20 and not row.bin_warning and row.mean_n == pytest.approx(24, abs=1)
+
+
+def test_plain_kde(spark):
+    x = np.random.default_rng(9).normal(size=300)
+    got = stats.kde(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", 50, plain=True).orderBy("k").collect()
+    h = 1.06 * x.std() * len(x) ** -0.2
+    at = x.min() + (x.max() - x.min()) * (np.arange(50) + 0.5) / 50
+    assert [r.x for r in got] == pytest.approx(at.tolist())
+    assert [r.density for r in got] == pytest.approx((np.exp(-0.5 * ((x[:, None] - at) / h) ** 2).sum(axis=0) / (len(x) * h * math.sqrt(2 * math.pi))).tolist())
+
+
+def test_exports_are_filtered(hourly, tmp_path):
+    sinks.export_series(hourly, "ts", ["col_a"], str(tmp_path / "series.parquet"), ranges=[filters.RangeFilter("col_c", 10, 20)])
+    out = hourly.sparkSession.read.parquet(str(tmp_path / "series.parquet"))
+    assert out.columns == ["ts", "col_a"] and out.count() == 101
+    sinks.export_scatter(hourly, "ts", ["col_a", "col_b", None], str(tmp_path / "scatter.parquet"), start="2024-01-02", end="2024-01-03")
+    out = hourly.sparkSession.read.parquet(str(tmp_path / "scatter.parquet"))
+    assert out.columns == ["col_a", "col_b"] and out.count() == 25

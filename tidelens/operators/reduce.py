@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,24 +111,26 @@ def largest_triangles(index: np.ndarray, y: np.ndarray, target: int) -> np.ndarr
 
 
 def shape_rows(placed: DataFrame, y: Column, n: int, target: int) -> DataFrame:
-    """i of at most `target` of n rows (indexed by i from 0) that keep the shape of y (Van Der Donckt et al. 2023).
+    """At most `target` of n rows (indexed by i from 0) that keep the shape of y (Van Der Donckt et al. 2023).
 
-    Bins of equally many rows first leave their lowest and highest; on those few rows one task chooses the largest
-    triangles. Places count, not times.
+    Bins of equally many rows first leave their lowest and highest; on those few rows, with all their columns, one task
+    chooses the largest triangles. Places count, not times.
     """
     bins = max(1, target * MINMAX_RATIO // 2)
     inner = placed.where((F.col("i") > 0) & (F.col("i") < n - 1))
     extremes = inner.groupBy(F.floor((F.col("i") - 1) * bins / (n - 2)).alias("bin")).agg(F.array(F.min_by("i", F.struct(y, "i")), F.max_by("i", F.struct(y, -F.col("i")))).alias("at"))
-    few = extremes.select(F.explode("at").alias("i")).distinct()
-    ends = placed.where((F.col("i") == 0) | (F.col("i") == n - 1)).select("i")
-    chosen = placed.join(few.union(ends), "i", "left_semi").select("i", y.alias("y"))
+    ends = placed.sparkSession.createDataFrame([(0,), (n - 1,)], "i long")
+    few = extremes.select(F.explode("at").alias("i")).union(ends)  # 4 * target and two at most
+    rows = placed.join(F.broadcast(few.distinct()), "i", "left_semi")
+    columns = rows.columns
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        at = largest_triangles(part["i"].to_numpy(float), part["y"].to_numpy(), target)
-        return part.iloc[at][["i"]]
+    def pick(part: pa.Table) -> pa.Table:
+        index = part.column("i").to_numpy()
+        order = np.argsort(index)
+        at = largest_triangles(index[order].astype(float), part.column("__y").to_numpy()[order], target)
+        return part.take(pa.array(order[at])).select(columns)
 
-    return chosen.groupBy(F.lit("all")).applyInPandas(pick, "i long")
+    return rows.withColumn("__y", y).groupBy(F.lit("all")).applyInArrow(pick, rows.schema)
 
 
 def minmax_lttb(df: DataFrame, ts: str, columns: list[str], target: int, *order: str) -> DataFrame:
@@ -140,8 +142,7 @@ def minmax_lttb(df: DataFrame, ts: str, columns: list[str], target: int, *order:
     n = placed.count()
     if n <= target or target < 3:
         return placed.select(ts, *columns)
-    kept = shape_rows(placed, F.coalesce(F.col(columns[0]).cast("double"), F.lit(0.0)), n, target)
-    return placed.join(kept, "i", "left_semi").orderBy("i").select(ts, *columns)
+    return shape_rows(placed, F.coalesce(F.col(columns[0]).cast("double"), F.lit(0.0)), n, target).orderBy("i").select(ts, *columns)
 
 
 def downsample_pairs(points: DataFrame, y: str, target: int, *order: str) -> DataFrame:
@@ -150,8 +151,7 @@ def downsample_pairs(points: DataFrame, y: str, target: int, *order: str) -> Dat
     n = placed.count()
     if n <= target or target < 3:
         return points
-    kept = shape_rows(placed, F.coalesce(F.col(y).cast("double"), F.lit(0.0)), n, target)
-    return placed.join(kept, "i", "left_semi").drop("i")
+    return shape_rows(placed, F.coalesce(F.col(y).cast("double"), F.lit(0.0)), n, target).drop("i")
 
 
 def sampled(df: DataFrame, ts: str, column: str, buckets: int, mode: str) -> DataFrame:
