@@ -316,7 +316,7 @@ class Encoder:
 # --- operators ----------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk_bytes: int = 1 << 21) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk_bytes: int = 1 << 22) -> DataFrame:
     """docs with a column of token ids (array of int), as the vocabulary's own library would encode the text.
 
     ranks: path of a rank file that every executor has. Null text encodes as empty: an empty array. Other columns, also
