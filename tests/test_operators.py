@@ -221,7 +221,7 @@ def test_order_statistics(spark, monkeypatch, held, look):
 def test_ranks(spark, monkeypatch, held):
     import pandas as pd
 
-    monkeypatch.setattr(stats, "HELD", held)
+    monkeypatch.setattr(stats, "RANKED", held)
     draw = np.random.default_rng(2)
     frame = pd.DataFrame({"a": draw.integers(0, 9, 400), "b": draw.normal(size=400), "c": np.where(draw.random(400) < 0.2, np.nan, draw.normal(size=400))})
     frame["c"] += frame["a"]

@@ -6,8 +6,8 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_ms, finite
@@ -17,7 +17,9 @@ from .rowindex import with_row_index, with_running_sums
 #: Bins of a histogram unless asked otherwise and their bounds; quantiles of a distribution; points of an ECDF and a KDE.
 BINS, BIN_BOUNDS, QUANTILES, ECDF_POINTS, KDE_POINTS = 24, (2, 1000), (0.05, 0.25, 0.5, 0.75, 0.95), 200, 64
 #: Relative accuracy of the first look that brackets exact quantiles, and values that the driver holds for them at most.
-LOOK, HELD = 10_000, 200_000
+LOOK, HELD = 2000, 200_000
+#: Different values whose ranks are added up on the driver at most (16 bytes each), and those that are broadcast.
+RANKED, BROADCAST_VALUES = 1_000_000, 100_000
 #: A denominator below this counts as zero.
 EPSILON = 2.220446049250313e-16
 
@@ -70,7 +72,7 @@ def order_statistics(long: DataFrame, points: list[float], ranks: Callable[[floa
             slot = F.when(mine, sum(((x > b).cast("int") for _, b in own), F.lit(0))).otherwise(slot)
             key = F.when(mine & reduce(lambda u, v: u | v, (x.between(a, b) for a, b in own)), x).otherwise(key)
         rows = long.where(x.isNotNull() & F.col("series").isin(*brackets)).groupBy("series", slot.alias("slot"), key.alias("key")).count()
-        table = rows.toPandas().sort_values(["series", "slot", "key"], na_position="first")
+        table = rows.toArrow().to_pandas().sort_values(["series", "slot", "key"], na_position="first")
         for name, part in table.groupby("series"):
             upto = part["count"].cumsum().to_numpy()
             at = part["key"].to_numpy()[np.searchsorted(upto, wanted[name], side="right")]
@@ -335,20 +337,33 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(pearson_of(as_number(df, x), as_number(df, y)).alias("pearson"))
 
 
+def _distributed(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A table of many rows as a DataFrame of partitions; Spark would make rows of the plan of it."""
+    name = "spark.sql.execution.arrow.localRelationThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "0")
+    try:
+        return spark.createDataFrame(table)
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def average_ranks(long: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     """For each series of long (series, x) a table v, r: its different values and their mean ranks, from 1.
 
-    Ranks come from the values' counts, so no row is sorted; up to HELD values are added up on the driver and broadcast, more
-    by running sums over partitions.
+    Ranks come from the values' counts, so no row is sorted; up to RANKED values are added up on the driver, more by running
+    sums over partitions.
     """
     counts = long.where("x is not null").groupBy("series", "x").agg(F.count("*").alias("c"))
-    spark, some = long.sparkSession, counts.limit(HELD + 1).toPandas()
-    if len(some) <= HELD:
-        out = {}
-        for name in columns:
-            part = some[some["series"] == name].sort_values("x")
-            made = pd.DataFrame({"v": part["x"].to_numpy(float), "r": (part["c"].cumsum() - (part["c"] - 1) / 2).to_numpy(float)})
-            out[name] = F.broadcast(spark.createDataFrame(made, "v double, r double"))
+    spark, some = long.sparkSession, counts.limit(RANKED + 1).toArrow()
+    if some.num_rows <= RANKED:
+        out, name, x, c = {}, some.column("series").to_numpy(), some.column("x").to_numpy(), some.column("c").to_numpy()
+        for column in columns:
+            mine = np.flatnonzero(name == column)
+            mine = mine[np.argsort(x[mine])]
+            ranks = np.cumsum(c[mine]) - (c[mine] - 1) / 2
+            table = _distributed(spark, pa.table({"v": x[mine], "r": ranks}))
+            out[column] = F.broadcast(table) if len(mine) <= BROADCAST_VALUES else table
         return out
     sums = {c: with_running_sums(counts.where(F.col("series") == c).select("x", "c"), "x", {"upto": "c"}) for c in columns}
     return {c: t.select(F.col("x").alias("v"), (F.col("upto") - (F.col("c") - 1) / 2).alias("r")) for c, t in sums.items()}
