@@ -7,8 +7,8 @@ arrival is later than every register's earliest. Registers of two documents agre
 exactly. Within a bucket every class is compared with one pivot, and where several components are left with a second pivot,
 the class closest to the first. Buckets that still hold several components then look for pairs across components; a pair
 is verified unless the pivot's exact distances rule it out (1 - J_P obeys the triangle inequality) or FINE other registers,
-made for the classes of such buckets only, agree by MARGIN less than the threshold asks for. Links within a component
-change nothing and are not looked for.
+made for the classes of such buckets only, agree by MARGIN less than the threshold asks for. It is verified where it is
+found, and only links leave the task. Links within a component change nothing and are not looked for.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from .graph import components
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
 #: Registers that pairs across components are judged by, how far below the threshold the share of equal ones may be for a
 #: pair to be verified (5 standard deviations at the threshold, (0.16 / FINE)**0.5 each; twice that for the first quarter
-#: of them, which is looked at before), and classes of a bucket that one task compares with as many others.
-FINE, MARGIN, TILE = 512, 0.0885, 4096
+#: of them, which is looked at before), and classes of a bucket that one task compares with as many others; of long texts
+#: fewer: so many bytes of shingles are a tile.
+FINE, MARGIN, TILE, TILE_BYTES = 512, 0.0885, 4096, 16 << 20
 #: Class ids that may be broadcast to pick out the texts to verify (16 bytes each); more are joined by an exchange.
 BROADCAST_CLASSES = 500_000
 #: Hashes of keys that one_of_each() broadcasts at most (8 bytes each before Spark's own overhead).
@@ -166,7 +167,8 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def _fine(texts: DataFrame) -> DataFrame:
-    """cls and bytes: a byte of each of FINE registers, which are independent of those of the bands."""
+    """cls, bytes (a byte of each of FINE registers, which are independent of those of the bands), elements and counts (8 bytes
+    for each shingle and how often it occurs; counts are empty where all are 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +176,16 @@ def _fine(texts: DataFrame) -> DataFrame:
             for a, b in chunks(offsets, 1 << 20):
                 e, c, at = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 low = (signatures(mix(e ^ np.uint64(_TWO)), c, at, FINE) & np.uint64(255)).astype(np.uint8)
-                made = pa.array([row.tobytes() for row in low], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(a, b - a), made], names=["cls", "bytes"])
+                spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                counts = c.astype(np.int64)
+                made = [[row.tobytes() for row in low], [e[x:y].tobytes() for x, y in spans], [b"" if (counts[x:y] == 1).all() else counts[x:y].tobytes() for x, y in spans]]
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(a, b - a), *[pa.array(x, pa.binary()) for x in made]], names=["cls", "bytes", "elements", "counts"])
 
-    return texts.select("cls", "t").mapInArrow(run, "cls binary, bytes binary")
+    return texts.select("cls", "t").mapInArrow(run, "cls binary, bytes binary, elements binary, counts binary")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame:
-    """The pairs (a, b) of classes with their exact similarity j; those below least are left out."""
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes with their exact similarity j."""
     rows = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +195,22 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame
                 part = batch.slice(lo, hi - lo)
                 (ea, ca, xa), (eb, cb, xb) = (shingles(*utf8(part.column(c))) for c in ("ta", "tb"))
                 j = np.array([probability_jaccard(ea[xa[i] : xa[i + 1]], ca[xa[i] : xa[i + 1]], eb[xb[i] : xb[i + 1]], cb[xb[i] : xb[i + 1]]) for i in range(part.num_rows)])
-                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
-                yield made.filter(pa.array(j >= least))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
 
     return rows.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("j", T.DoubleType())]))
 
 
 def _across(open_: DataFrame, similarity: float, exact: bool) -> DataFrame:
-    """Pairs (a, b) worth verifying: of one bucket, of different components, ruled out neither by distance nor by registers
-    (exact: by distance alone).
+    """Links (a, b) that join components of one bucket: pairs ruled out neither by distance nor by registers (exact: by
+    distance alone), verified in the task that finds them, so that no row is made for a pair that is no link.
 
-    open_: spot, n (rows of the bucket), cls, root, far and far1 (distances to the bucket's second and first pivot), bands, bytes. A pair comes from
-    the first of the buckets that it shares. A large bucket is dealt as tiles, each with each.
+    open_: spot, tiles, cls, root, far and far1 (distances to the bucket's second and first pivot), bands, bytes, elements,
+    counts. A pair comes from the first of the buckets that it shares. A large bucket is dealt as tiles, each with each. A
+    link joins its components for the rest of the task, so a task gives fewer links than it has classes.
     """
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
-    rows = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.select("spot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "root", "far", "far1", "bands", "bytes")
+    own = F.pmod(F.xxhash64("cls"), "tiles").cast("int")
+    rows = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("spot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "root", "far", "far1", "bands", "bytes", "elements", "counts")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         spot, x, y = (k.as_py() for k in key)
@@ -217,22 +220,25 @@ def _across(open_: DataFrame, similarity: float, exact: bool) -> DataFrame:
         bands = np.asarray(part.column("bands").combine_chunks().flatten()).reshape(len(cls), -1)
         low = np.stack([np.frombuffer(v, np.uint8) for v in part.column("bytes").to_pylist()])
         tile, names = np.asarray(part.column("own")), np.array(cls, object)
+        sets = [np.frombuffer(v, np.uint64) for v in part.column("elements").to_pylist()]
+        weights = [np.frombuffer(v, np.int64) if v else np.ones(len(e), np.int64) for v, e in zip(part.column("counts").to_pylist(), sets, strict=True)]
         order = np.argsort(names, kind="stable")
         place = np.empty(len(cls), np.int64)
         place[order] = np.arange(len(cls))
-        none = np.zeros(0, np.int32)
-        left, right = [none], [none]
+        left, right = [], []
         for i in range(len(cls)):
             too_far = (np.abs(far - far[i]) > 1 - similarity + 1e-9) | (np.abs(far1 - far1[i]) > 1 - similarity + 1e-9)
             j = np.flatnonzero((root != root[i]) & (place > place[i]) & ((tile != tile[i]) | (x == y)) & ~too_far)
             for some, margin in () if exact else ((FINE // 4, 2 * MARGIN), (FINE, MARGIN)):
                 j = j[(low[j, :some] == low[i, :some]).mean(axis=1) >= similarity - margin]
             if len(j):
-                first = (bands[j] == bands[i]).argmax(axis=1)
-                right.append(j[bands[i][first] == spot].astype(np.int32))
-                left.append(np.full(len(right[-1]), i, np.int32))
-        ids = part.column("cls").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(np.concatenate(left))), "b": ids.take(pa.array(np.concatenate(right)))})
+                j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == spot]
+            for other in j.tolist():
+                if root[other] != root[i] and probability_jaccard(sets[i], weights[i], sets[other], weights[other]) >= similarity - 1e-12:
+                    left.append(cls[i])
+                    right.append(cls[other])
+                    root[root == root[other]] = root[i]
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return rows.groupBy("spot", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
@@ -269,14 +275,16 @@ def labelled(docs: DataFrame, key: str, text: str, similarity: float, exact: boo
     tested = tested.union(written(_verify(more, texts), "tested"))
     left, labels = still_open(left, tested.where(similar).select("a", "b"))
     far = left.join(tested, (F.col("a") == F.least("pivot", "cls")) & (F.col("b") == F.greatest("pivot", "cls")), "left")
-    far = far.select("spot", "n", "cls", "root", "far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far"))
+    far = far.select("spot", "cls", "root", "far1", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")).alias("far"))
     fine = _fine(texts.join(left.select("cls").distinct(), "cls", "left_semi"))
-    far = far.join(written(reps.join(fine, "cls"), "fine"), "cls")
-    across = written(_across(far, similarity, exact).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    fine = written(reps.join(fine, "cls"), "fine")
+    size = fine.select("cls", (F.length("elements") + F.length("counts")).cast("long").alias("size"))
+    sizes = far.join(size, "cls").groupBy("spot").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    tiles = F.ceil(F.greatest(F.col("rows") / TILE, F.col("size") / TILE_BYTES)).cast("int")
+    far = join_uneven(far, written(sizes.select("spot", "rows", tiles.alias("tiles")), "tiles"), "spot", "rows")
+    across = written(_across(far.join(fine, "cls"), similarity, exact), "across")
     if not across.isEmpty():
-        last = written(_verify(across, texts, similarity - 1e-12), "tested")
-        if not last.isEmpty():
-            labels = components(labels.toDF("a", "b").union(last.select("a", "b"))).toDF("cls", "root")
+        labels = components(labels.toDF("a", "b").union(across)).toDF("cls", "root")
     rows = signed.select("k", "h", "cls").join(labels, "cls", "left").select("k", "h", F.coalesce("root", "cls").alias("root"))
     return written(rows, "labelled")
 
