@@ -157,3 +157,22 @@ def test_repeated_documents_score_apart(spark):
         table = spark.createDataFrame(rows + [(2000 + i, " ".join(word() for _ in range(60))) for i in range(300 * more)], "doc_id long, text string")
         got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in suffixtree.score(table, F.lit(False)).collect()}
         assert min(got[1000 + i] for i in range(20)) > max(got[i] for i in range(20, 300)) + 1
+
+
+def test_spelling_counts_all_runs(spark, monkeypatch):
+    """No run is left out, however many there are: a tree of 2.1 million runs that are seen once, and some that are seen often."""
+    low = np.arange(2_100_000, dtype=np.int64)
+    rare = (low % 256) | (128 + low // 256 % 100) << 48 | (1 + low // 25_600) << 40 | 7 << 32
+    often = np.array([97 | 98 << 48 | 99 << 40 | 100 << 32, 101 | 98 << 48 | 99 << 40 | 100 << 32])
+    run, n = np.concatenate((rare, often)), np.concatenate((np.ones(len(rare), np.int64), [900, 100]))
+    order = np.argsort(run)
+    payload = suffixtree.packed(np.zeros(4, np.int64), run[order], n[order])
+    answers = spark.createDataFrame([(suffixtree.SUMS, None, 0, payload)], suffixtree.ANSWERS)
+    symbols = np.bincount(run & 255, n, minlength=256)
+    trees = []
+    for most in (suffixtree.SPELL_RUNS, 100_000):
+        monkeypatch.setattr(suffixtree, "SPELL_RUNS", most)
+        trees.append(suffixtree.speller(answers))
+        assert np.allclose(trees[-1].root, (symbols + 1 / 256) / (n.sum() + 1), rtol=1e-12, atol=0)
+    assert trees[0].log10([b"dcba", b"xyz"]).tolist() == trees[1].log10([b"dcba", b"xyz"]).tolist()
+    assert trees[0].size() > 0

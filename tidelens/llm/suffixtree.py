@@ -27,14 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, joined, mix, packed, run_starts, squeezed, tasks, text_blocks, unpacked, unsqueezed, word_hashes, words, written
+from .common import block_of, free_name, joined, mix, packed, run_starts, squeezed, tasks, text_blocks, unpacked, unsqueezed, word_hashes, words, written
 
 #: Longest context in words; least count of a context; nats that a retained context saves at least; discount of a count
 #: above 1 (1 is discounted to 0, so that what follows once needs no exchange).
 DEPTH, LEAST, GAIN, DISCOUNT = 2, 2, 5.0, 0.75
-#: Longest context in bytes for spelling; runs of bytes that the broadcast spelling tree may have (16 bytes each at most:
-#: where there are more, the rarest go, which changes the distribution but not that it is one).
-SPELL, SPELL_RUNS = 3, 2_000_000
+#: Longest context in bytes for spelling; runs of bytes that a task tests at a time.
+SPELL, SPELL_RUNS = 3, 1 << 18
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
 END = 0x0A
@@ -92,25 +91,26 @@ def grams(s: np.ndarray, depth: int = SPELL) -> np.ndarray:
 class Speller:
     """A suffix tree over bytes: the probability of a word's bytes and its end."""
 
-    def __init__(self, run: np.ndarray, n: np.ndarray, depth: int = SPELL, gain: float = GAIN):
-        """run: sorted runs as grams() gives them, n: how often each is seen."""
+    def __init__(self, count: np.ndarray, depth: int = SPELL):
+        """count: how often each of the 256 bytes is seen. Levels follow by add()."""
         self.depth, self.levels = depth, []
-        count = np.bincount((run & np.uint64(255)).astype(np.int64), n, minlength=256)
         self.root = (count + 1 / 256) / (count.sum() + 1)
-        for k in range(1, depth + 1):
-            part = (run >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0
-            key = run[part] >> np.uint64(56 - 8 * k) << np.uint64(8) | run[part] & np.uint64(255)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            cut = run_starts(key)
-            key, c = key[cut], np.add.reduceat(n[part][order], cut) if len(cut) else np.zeros(0, np.int64)
-            of = np.cumsum(np.concatenate(([0], np.diff(key >> np.uint64(8)) != 0)))[: len(key)]
-            contexts = int(of[-1]) + 1 if len(of) else 0
-            full = (key >> np.uint64(8)) << np.uint64(56 - 8 * k) | key & np.uint64(255)
-            size, freed, gained = tested(of, c, self._after(full), np.zeros(contexts, np.int64))
-            keep = (size >= LEAST) & (gained >= gain)
-            names, mine = (key >> np.uint64(8))[np.flatnonzero(np.diff(of, prepend=-1))] if contexts else key, keep[of]
-            self.levels.append((names[keep], freed[keep] / 4 / size[keep], key[mine], discounted(c[mine]) / size[of][mine]))
+
+    def tested(self, k: int, key: np.ndarray, c: np.ndarray, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the retained ones of some whole contexts of k bytes: the runs seen twice or more, their shares, and the part
+        that the context frees. key: sorted, the context and then a byte; c: how often each is seen."""
+        of = np.cumsum(np.concatenate(([0], np.diff(key >> np.uint64(8)) != 0)))[: len(key)]
+        contexts = int(of[-1]) + 1 if len(of) else 0
+        full = (key >> np.uint64(8)) << np.uint64(56 - 8 * k) | key & np.uint64(255)
+        size, freed, gained = tested(of, c, self._after(full), np.zeros(contexts, np.int64))
+        # A retained context has such a run: without one it saves nothing. What is seen once has no share.
+        mine = ((size >= LEAST) & (gained >= gain))[of] & (c > 1)
+        return key[mine], discounted(c[mine]) / size[of][mine], (freed / 4 / np.maximum(size, 1))[of][mine]
+
+    def add(self, key: np.ndarray, share: np.ndarray, freed: np.ndarray) -> None:
+        """The next level, from tested() of all its contexts, sorted by key."""
+        first = run_starts(key >> np.uint64(8))
+        self.levels.append(((key >> np.uint64(8))[first], freed[first], key, share))
 
     def _after(self, run: np.ndarray) -> np.ndarray:
         p = self.root[(run & np.uint64(255)).astype(np.int64)]
@@ -460,8 +460,9 @@ def decide(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(keep, np.int64), np.array([found[k][0] for k in keep], np.int64), np.array([found[k][1] for k in keep], np.int64)
 
 
-def speller(answers: DataFrame, most: int = SPELL_RUNS) -> Speller:
-    """The spelling tree of the training words, each counted once; at most `most` runs of bytes reach the driver."""
+def speller(answers: DataFrame, depth: int = SPELL) -> Speller:
+    """The spelling tree of all training words, each counted once. Tasks test the contexts, level by level; what the retained
+    ones have seen twice or more reaches the driver (24 bytes for each such run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,12 +473,28 @@ def speller(answers: DataFrame, most: int = SPELL_RUNS) -> Speller:
 
     runs = answers.where(F.col("kind") == SUMS).select("payload").mapInArrow(run, "gram long, n long")
     runs = written(runs.groupBy("gram").agg(F.sum("n").alias("n")), "spelling")
-    least = 1
-    while runs.where(F.col("n") >= least).count() > most:
-        least *= 2
-    found = runs.where(F.col("n") >= least).orderBy("gram").toArrow()
-    key, n = (np.asarray(found.column(i).combine_chunks(), np.int64) for i in range(2))
-    return Speller(key.view(np.uint64), n)
+    parts, symbol, count = -(-max(runs.count(), 1) // SPELL_RUNS), F.col("gram").bitwiseAND(255), np.zeros(256)
+    for r in runs.groupBy(symbol.alias("x")).agg(F.sum("n").alias("n")).collect():
+        count[r.x] = r.n
+    tree = Speller(count, depth)
+
+    def testing(k: int):
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("key")
+            key, n = (np.asarray(rows.column(c).combine_chunks(), np.int64) for c in ("key", "n"))
+            found = tree.tested(k, key.view(np.uint64), n)
+            return pa.table({"key": found[0].view(np.int64), "share": found[1], "freed": found[2]})
+
+        return run
+
+    for k in range(1, depth + 1):
+        context = F.shiftright("gram", 56 - 8 * k)
+        level = runs.where(context.bitwiseAND(255) != 0).groupBy(F.shiftleft(context, 8).bitwiseOR(symbol).alias("key")).agg(F.sum("n").alias("n"))
+
+        found = level.groupBy(block_of(parts, F.shiftright("key", 8))).applyInArrow(testing(k), "key long, share double, freed double").toArrow().sort_by("key")
+        key, share, freed = (np.asarray(found.column(c).combine_chunks()) for c in ("key", "share", "freed"))
+        tree.add(key.astype(np.int64).view(np.uint64), share, freed)
+    return tree
 
 
 # --- scoring ------------------------------------------------------------------------------------
